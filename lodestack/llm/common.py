@@ -44,3 +44,26 @@ def ascii_lower(column):
 def chars_at(bits, n: int):
     """The lowest ``n`` characters of ``bits`` as a zero-padded lower-case hex string."""
     return F.lower(F.lpad(F.hex(bits), n, "0"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed; once a session."""
+    import pathlib
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_lodestack_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    to = pathlib.Path(tempfile.mkdtemp(prefix="lodestack-code-")) / "lodestack.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(to))
+    context._lodestack_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, secrets
+from . import chat, licenses, multiindex, packing, secrets, simhash, tokens
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
+    "op8_token_files": tokens.op8_token_files,
+    "op9_embedding_dedup": multiindex.op9_embedding_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
