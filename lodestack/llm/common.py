@@ -67,3 +67,35 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+#: Columns that a long array of floats is cut into, so that Spark can sum it piece by piece.
+SLICE = 64
+
+
+def sliced(flat, weight: float = 1.0):
+    """A record batch (slice, weight, v0 ... v63) that holds ``flat``."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = -(-len(flat) // SLICE)
+    table = np.zeros((n, SLICE), np.float32)
+    table.ravel()[: len(flat)] = flat
+    columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(SLICE)]
+    names = ["slice", "weight", *(f"v{i}" for i in range(SLICE))]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, weight)), *columns], names)
+
+
+SLICED = "slice int, weight double, " + ", ".join(f"v{i} float" for i in range(SLICE))
+
+
+def summed(slices: DataFrame, n: int):
+    """The sum of the arrays of ``n`` floats that ``slices`` holds, and of their weights; None where there are none."""
+    import numpy as np
+
+    names = [f"v{i}" for i in range(SLICE)]
+    rows = slices.groupBy("slice").agg(F.sum("weight").alias("weight"), *[F.sum(c).alias(c) for c in names]).toArrow()
+    if not rows.num_rows:
+        return None
+    rows = rows.sort_by("slice")
+    return np.stack([rows[c].to_numpy() for c in names], axis=1).ravel()[:n], rows["weight"][0].as_py()

@@ -122,11 +122,11 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, per_text
 
 
-def parts_of(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, most: int = 32 << 20, column: int | str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``most`` bytes of text at most (a longer text is a slice of its own)."""
     import pyarrow.compute as pc
 
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(size) // most
     at = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else []
     for i, a in enumerate(at):
