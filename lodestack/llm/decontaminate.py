@@ -5,7 +5,7 @@ Passages are windows of two blocks of ``STEP`` words. The vocabulary is that of
 all blocks of all documents. A randomised SVD of the TF-IDF blocks gives the latent space: with random directions
 R, every task sums A'(AR) over its blocks in one pass, Spark adds the sums in slices, and the driver gets one matrix of the vocabulary's
 size, from which the single-pass (Nystrom) form of the decomposition follows. The items are rows of A as well, weighted to hold
-half of its energy, so that an item that leaked only once has its place in the space.
+``ITEM_ENERGY`` times the energy of all blocks, so that an item that leaked only once has its place in the space.
 
 Every passage is compared with every item by cosine in that space. What is at least ``COSINE`` is verified against the
 words around: the longest common subsequence must hold ``LCS`` of the item's words, or ``LCS_WITH_ANSWER`` of them
@@ -35,7 +35,8 @@ STEP = 24
 ITEM_BLOCK = 200
 #: Dimensions of the latent space beyond one for each item.
 MORE_DIMENSIONS = 56
-COSINE = 0.35
+ITEM_ENERGY = 8.0
+COSINE = 0.4
 LCS = 0.7
 LCS_WITH_ANSWER = 0.55
 ANSWER_WORDS = 8
@@ -186,7 +187,7 @@ def latent_space(codes: DataFrame, idf: np.ndarray, items: Items, seed: int = 9)
     b = np.zeros((len(items.ids), n))
     for row, own in zip(b, items.codes(), strict=True):
         np.add.at(row, own, idf[own])
-    y = y + (b.T @ (b @ directions)) * (max(energy, 1.0) / (b**2).sum())
+    y = y + (b.T @ (b @ directions)) * (ITEM_ENERGY * max(energy, 1.0) / (b**2).sum())
     # C is about Y (R'Y)^-1 Y', with R's columns orthonormal
     shift = 1e-7 * np.linalg.norm(y)
     y = y + shift * directions

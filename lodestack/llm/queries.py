@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, multiindex, packing, secrets, simhash, tokens
+from . import chat, decontaminate, licenses, masked_lm, multiindex, packing, quality, secrets, simhash, tokens
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op3_lm_scoring": masked_lm.op3_lm_scoring,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_token_files": tokens.op8_token_files,
     "op9_embedding_dedup": multiindex.op9_embedding_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
