@@ -103,8 +103,11 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     index[first] = len(words) + head_of
     per = counts[index]
     total = int(per.sum())
-    where = np.cumsum(per) - per
-    ids = flat[np.repeat(starts[index] - where, per) + np.arange(total)]
+    shift = (starts[index] - (np.cumsum(per) - per)).astype(np.int32)
+    spot = np.repeat(shift, per)
+    spot += np.arange(total, dtype=np.int32)
+    ids = flat[spot]
+    del spot, shift
     per_text = np.add.reduceat(per, first)
     # white-space runs of three and more around a cut
     edge = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words] + [False] * len(heads))
@@ -122,7 +125,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, per_text
 
 
-def parts_of(batch: pa.RecordBatch, most: int = 32 << 20, column: int | str = "text") -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, most: int = 20 << 20, column: int | str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``most`` bytes of text at most (a longer text is a slice of its own)."""
     import pyarrow.compute as pc
 
