@@ -222,8 +222,10 @@ def train(bins: DataFrame, ids_of: np.ndarray, flat: np.ndarray, nth: int) -> np
             targets = np.flatnonzero(place % MASK_EVERY == own[doc])
             targets = np.random.default_rng(len(targets)).permutation(targets)
             around = contexts(ids, doc, targets)
-            for at in range(0, len(targets), 2048):
-                _step(p, g, around[:, at : at + 2048], ids[targets[at : at + 2048]])
+            # small shares take smaller steps, so that they make enough of them
+            size = int(np.clip(len(targets) // 64, 32, 2048))
+            for at in range(0, len(targets), size):
+                _step(p, g, around[:, at : at + size], ids[targets[at : at + size]])
             seen += len(targets)
         if seen:
             yield sliced(flat * seen, float(seen))
