@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 MASK = 0xFFFFFFFF
 
@@ -62,9 +63,14 @@ def lookup3(data: bytes, seed: int = 0) -> int:
 
 def udf(f):
     """A pandas UDF (binary to bigint) of a checksum."""
-    import pandas as pd
+    from pyspark.sql import SparkSession
     from pyspark.sql.functions import pandas_udf
 
+    from ..session import ship
+
+    if active := SparkSession.getActiveSession():
+        ship(active)
+
     @pandas_udf("bigint")
     def over(data: pd.Series) -> pd.Series:
         return data.map(lambda b: None if b is None else f(bytes(b))).astype("Int64")

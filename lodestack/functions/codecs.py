@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 
 from .checksums import fletcher32
 
@@ -118,10 +119,12 @@ def decode(data: bytes, filters: Sequence[tuple[int, Sequence[int]]], mask: int,
 
 def decoded(chunks, filters: Sequence[tuple[int, Sequence[int]]], size: int):
     """Decode a DataFrame of chunks (payload binary, filter_mask bigint, anything else): adds ``status`` and ``data``."""
-    import pandas as pd
     from pyspark.sql import functions as F
     from pyspark.sql.functions import pandas_udf
 
+    from ..session import ship
+
+    ship(chunks.sparkSession)
     filters = [(n, list(v)) for n, v in filters]
 
     @pandas_udf("status string, data binary")
