@@ -2,9 +2,10 @@
 
 Passages are windows of two blocks of ``STEP`` words. The vocabulary is that of the benchmark items (a stated query set; more than
 ``ITEM_BLOCK`` of them go block by block); other words count in a passage's length only. Inverse document frequencies come from
-all blocks of all documents. A randomised SVD of the TF-IDF blocks gives the latent space: with random directions
-R, every task sums A'(AR) over its blocks in one pass, Spark adds the sums in slices, and the driver gets one matrix of the vocabulary's
-size, from which the single-pass (Nystrom) form of the decomposition follows. The items are rows of A as well, weighted to hold
+all blocks of all documents. Words in more than ``COMMON`` of the blocks are no features (they do count in verification), unless an item
+would keep too few. A randomised SVD of the TF-IDF blocks gives the latent space: with random directions
+R, every task forms A'AR of its blocks in one pass, as its words' co-occurrences times R, Spark adds these in slices, and the driver gets
+one matrix of the vocabulary's size, from which the single-pass (Nystrom) form of the decomposition follows. The items are rows of A as well, weighted to hold
 ``ITEM_ENERGY`` times the energy of all blocks, so that an item that leaked only once has its place in the space.
 
 Every passage is compared with every item by cosine in that space. What is at least ``COSINE`` is verified against the
@@ -36,13 +37,15 @@ ITEM_BLOCK = 200
 #: Dimensions of the latent space beyond one for each item.
 MORE_DIMENSIONS = 56
 ITEM_ENERGY = 8.0
-COSINE = 0.4
+COSINE = 0.25
 LCS = 0.7
 LCS_WITH_ANSWER = 0.55
 ANSWER_WORDS = 8
 LEAST_WORDS = 8
 #: Inverse document frequencies are held between these, so that a passage found in many documents keeps its weight.
 LEAST_IDF, MOST_IDF = 1.0, 3.0
+#: Share of blocks beyond which a word is no feature, and the share of its words that an item keeps at least.
+COMMON, KEPT = 0.01, 0.3
 
 
 def words_of(text: str | None) -> list[str]:
@@ -154,6 +157,35 @@ def frequencies(codes: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
     return out[:n_words], int(out[n_words])
 
 
+def weights(df: np.ndarray, n_blocks: int, items: Items) -> np.ndarray:
+    """The weight of each word of the vocabulary: its held inverse document frequency; 0 where it is no feature."""
+    idf = np.clip(np.log((n_blocks + 1) / (df + 1)) / 2, LEAST_IDF, MOST_IDF)
+    use = df <= COMMON * n_blocks
+    for own in items.codes():
+        # an item whose passage stands in very many documents has no rare words; then its less frequent ones serve
+        for most in (0.1, 1.0):
+            if use[own].sum() >= max(5, KEPT * len(own)):
+                break
+            use[own] |= df[own] <= most * n_blocks
+    return np.where(use, idf, 0.0)
+
+
+def _together(got: np.ndarray, of: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` (words by words, flat) the weighted co-occurrences within blocks: the sum of x x' over the blocks."""
+    n = len(weight)
+    keep = (got >= 0) & (weight[got] > 0)
+    word, block = got[keep].astype(np.int64), of[keep]
+    w = weight[word]
+    np.add.at(total, word * (n + 1), w * w)
+    for d in range(1, len(word)):
+        same = np.flatnonzero(block[d:] == block[:-d])
+        if not len(same):
+            break
+        a, b, x = word[same], word[same + d], w[same] * w[same + d]
+        np.add.at(total, a * n + b, x)
+        np.add.at(total, b * n + a, x)
+
+
 def latent_space(codes: DataFrame, idf: np.ndarray, items: Items, seed: int = 9) -> np.ndarray:
     """Orthonormal columns: the right singular vectors of the weighted blocks and items."""
     n = len(idf)
@@ -163,24 +195,17 @@ def latent_space(codes: DataFrame, idf: np.ndarray, items: Items, seed: int = 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, directions = model.value
-        weighted = directions * idf[:, None]
-        total, energy = np.zeros((n, k), np.float32), 0.0
+        used = np.flatnonzero(idf)
+        place = np.full(n + 1, -1, np.int32)  # its last entry is that of words outside the vocabulary
+        place[used] = np.arange(len(used))
+        total = np.zeros(len(used) ** 2, np.float32)
         for got, counts in _read(batches, n < 32768):
-            of, _, _ = _blocks(counts)
-            in_it = got >= 0
-            for part in range(0, int(in_it.sum()), 1 << 16):
-                word, block = got[in_it][part : part + (1 << 16)], of[in_it][part : part + (1 << 16)]
-                at = np.flatnonzero(np.diff(block, prepend=-1))
-                rows = np.add.reduceat(weighted[word], at, axis=0)
-                row_of = np.cumsum(np.diff(block, prepend=-1) != 0) - 1
-                order = np.argsort(word, kind="stable")
-                sorted_words = word[order]
-                at = np.flatnonzero(np.diff(sorted_words, prepend=-1))
-                spots = sorted_words[at]
-                total[spots] += np.add.reduceat(rows[row_of[order]], at, axis=0) * idf[spots][:, None]
-                energy += float((idf[word] ** 2).sum())
-        if energy:
-            yield sliced(total.ravel(), energy)
+            _together(place[got], _blocks(counts)[0], idf[used], total)
+        total = total.reshape(len(used), len(used))
+        if energy := float(np.trace(total)):
+            out = np.zeros((n, k), np.float32)
+            out[used] = total @ directions[used]
+            yield sliced(out.ravel(), energy)
 
     got = summed(map_arrow(codes, run, SLICED), n * k)
     y, energy = (got[0].reshape(n, k), got[1]) if got else (np.zeros((n, k)), 0.0)
@@ -245,7 +270,7 @@ class Model:
             per_doc = counts[i:j]
             of, doc, last = _blocks(per_doc)
             n = len(doc)
-            in_it = got >= 0
+            in_it = (got >= 0) & (self.idf[got] > 0)
             word, block = got[in_it], of[in_it]
             dots = np.zeros((n, n_items), np.float32)
             if len(word):
@@ -290,7 +315,7 @@ def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Model, DataF
     for items in item_blocks(benchmark):
         codes = materialise(coded(docs, items), "passage-words")
         df, n = frequencies(codes, len(items.vocabulary))
-        idf = np.clip(np.log((n + 1) / (df + 1)) / 2, LEAST_IDF, MOST_IDF)
+        idf = weights(df, n, items)
         yield Model(items, idf, latent_space(codes, idf, items)), codes
 
 
