@@ -221,14 +221,17 @@ class Dataset:
     chunks: tuple[int, ...] = ()
     filters: list[tuple[int, int, list[int]]] = field(default_factory=list)
     index: tuple = ()
+    most: tuple[int, ...] = ()
 
 
-def _dataspace(body: bytes) -> tuple[int, ...]:
+def _dataspace(body: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The shape now, and the largest it may get (``UNDEFINED``: without bound)."""
     version, rank, flags = body[0], body[1], body[2]
     at = 4 if version == 2 else 8
     if version == 2 and body[3] == 2:
         raise Unsupported("null dataspace")
-    return struct.unpack_from(f"<{rank}Q", body, at)
+    shape = struct.unpack_from(f"<{rank}Q", body, at)
+    return shape, struct.unpack_from(f"<{rank}Q", body, at + 8 * rank) if flags & 1 else shape
 
 
 def _datatype(body: bytes) -> tuple[str, int]:
@@ -269,7 +272,8 @@ def dataset(path: str, address: int, found: list[Message]) -> Dataset | None:
     if LAYOUT not in by or DATASPACE not in by:
         return None
     dtype, width = _datatype(by[DATATYPE])
-    out = Dataset(path, address, _dataspace(by[DATASPACE]), dtype, width, "", filters=_filters(by[FILTERS]) if FILTERS in by else [])
+    shape, most = _dataspace(by[DATASPACE])
+    out = Dataset(path, address, shape, dtype, width, "", filters=_filters(by[FILTERS]) if FILTERS in by else [], most=most)
     body = by[LAYOUT]
     version, kind = body[0], body[1]
     if version not in (3, 4):
@@ -298,6 +302,10 @@ def dataset(path: str, address: int, found: list[Message]) -> Dataset | None:
             out.layout, out.index = "implicit", struct.unpack_from("<Q", body, at)
         elif index == 3:
             out.layout, out.index = "fixed_array", struct.unpack_from("<Q", body, at + 1)
+        elif index == 4:
+            out.layout, out.index = "extensible_array", struct.unpack_from("<Q", body, at + 5)
+        elif index == 5:
+            out.layout, out.index = "tree2", struct.unpack_from("<Q", body, at + 6)
         else:
             raise Unsupported(f"chunk index {index}")
     else:
@@ -374,6 +382,179 @@ def _fixed_array(src: Bytes, d: Dataset) -> Iterator[Chunk]:
             yield Chunk(origin, offset, whole)
 
 
+def _entry(d: Dataset, origin: tuple[int, ...], e: bytes, filtered: bool, whole: int) -> Chunk:
+    """The chunk of an array index's element."""
+    (offset,) = struct.unpack_from("<Q", e)
+    if offset == UNDEFINED:
+        return Chunk(origin, None, 0)
+    if filtered:
+        return Chunk(origin, offset, int.from_bytes(e[8:-4], "little"), struct.unpack("<I", e[-4:])[0])
+    return Chunk(origin, offset, whole)
+
+
+def _extensible_origin(d: Dataset, k: int) -> tuple[int, ...]:
+    """The origin of element k: the axis without bound varies slowest, the others have the grid of their largest extent."""
+    free = [i for i, m in enumerate(d.most) if m == UNDEFINED]
+    if len(free) != 1:
+        raise Unsupported("an extensible array with other than one free axis")
+    axes = free + [i for i in range(len(d.shape)) if i != free[0]]
+    at = [0] * len(d.shape)
+    for i in reversed(axes[1:]):
+        k, at[i] = divmod(k, -(-d.most[i] // d.chunks[i]))
+    at[free[0]] = k
+    return tuple(x * c for x, c in zip(at, d.chunks, strict=True))
+
+
+def _extensible_array(src: Bytes, d: Dataset) -> Iterator[Chunk]:
+    """Elements stand in the index block first, then in data blocks that it names, then in those that secondary blocks name.
+    Row i of the schedule has 2^(i div 2) blocks of 2^((i + 1) div 2) times the least number of elements."""
+    address = d.index[0]
+    head = src.at(address, 72)
+    if head[:4] != b"EAHD":
+        raise Damaged("no extensible array")
+    _sealed(head[:68], head[68:], "extensible array header")
+    client, entry, bits, own, least, pointers, page_bits = head[5:12]
+    top, _, index = struct.unpack_from("<3Q", head, 44)
+    whole = d.width
+    for c in d.chunks:
+        whole *= c
+    offset_size, page = -(-bits // 8), 1 << page_bits
+
+    def split(raw: bytes) -> list[bytes]:
+        return [raw[i : i + entry] for i in range(0, len(raw), entry)]
+
+    def block(at: int, n: int, start: int, used: bytes | None) -> list[bytes]:
+        if at == UNDEFINED:
+            return [b"\xff" * entry] * n
+        fixed = 14 + offset_size
+        if src.at(at, 4) != b"EADB" or src.ints(at + 6, "Q")[0] != address or int.from_bytes(src.at(at + 14, offset_size), "little") != start:
+            raise Damaged("a data block is out of place")
+        if n <= page:
+            _sealed(src.at(at, fixed + n * entry), src.at(at + fixed + n * entry, 4), "data block")
+            return split(src.at(at + fixed, n * entry))
+        _sealed(src.at(at, fixed), src.at(at + fixed, 4), "data block")
+        out, place = [], at + fixed + 4
+        for p in range(n // page):
+            if used is None or used[p // 8] >> (7 - p % 8) & 1:
+                raw = src.at(place, page * entry)
+                _sealed(raw, src.at(place + page * entry, 4), "data block page")
+                out += split(raw)
+            else:
+                out += [b"\xff" * entry] * page
+            place += page * entry + 4
+        return out
+
+    def elements() -> Iterator[bytes]:
+        if index == UNDEFINED:
+            return
+        rows = 1 + bits - (least.bit_length() - 1)
+        direct = 2 * (pointers.bit_length() - 1)  # rows whose blocks the index block names itself
+        named = 2 * (pointers - 1)
+        size = 14 + own * entry + 8 * (named + rows - direct)
+        if src.at(index, 4) != b"EAIB" or src.ints(index + 6, "Q")[0] != address:
+            raise Damaged("the index block doesn't name its header")
+        _sealed(src.at(index, size), src.at(index + size, 4), "index block")
+        yield from split(src.at(index + 14, own * entry))
+        blocks = list(src.ints(index + 14 + own * entry, f"{named}Q"))
+        seconds = list(src.ints(index + 14 + own * entry + 8 * named, f"{rows - direct}Q"))
+        start = 0
+        for row in range(rows):
+            n, count = least << ((row + 1) // 2), 1 << (row // 2)
+            marks = -(-(n // page) // 8) if n > page else 0
+            if row < direct:
+                mine, used = [blocks.pop(0) for _ in range(count)], [None] * count
+            else:
+                at = seconds.pop(0)
+                if at == UNDEFINED:
+                    if start >= top:
+                        return
+                    mine, used = [UNDEFINED] * count, [None] * count
+                else:
+                    fixed = 14 + offset_size
+                    total = fixed + count * (marks + 8)
+                    if src.at(at, 4) != b"EASB" or src.ints(at + 6, "Q")[0] != address:
+                        raise Damaged("a secondary block is out of place")
+                    _sealed(src.at(at, total), src.at(at + total, 4), "secondary block")
+                    used = [src.at(at + fixed + marks * i, marks) if marks else None for i in range(count)]
+                    mine = list(src.ints(at + fixed + count * marks, f"{count}Q"))
+            for at, u in zip(mine, used, strict=True):
+                if start >= top:
+                    return
+                yield from block(at, n, start, u)
+                start += n
+
+    for k, e in enumerate(elements()):
+        if k >= top:
+            return
+        origin = _extensible_origin(d, k)
+        if all(o < s for o, s in zip(origin, d.shape, strict=True)):
+            yield _entry(d, origin, e, bool(client), whole)
+
+
+def _bytes_for(n: int) -> int:
+    return (max(n, 1).bit_length() - 1) // 8 + 1
+
+
+def _tree2(src: Bytes, d: Dataset) -> Iterator[Chunk]:
+    """Version-2 B-tree of chunk records, in order of their coordinates; subtree totals must agree."""
+    head = src.at(d.index[0], 38)
+    if head[:4] != b"BTHD":
+        raise Damaged("no tree header")
+    _sealed(head[:34], head[34:], "tree header")
+    kind, node, record, depth = struct.unpack_from("<BIHH", head, 5)
+    root, n_root, total = struct.unpack_from("<QHQ", head, 16)
+    if kind not in (10, 11):
+        raise Damaged("not a tree of chunks")
+    rank = len(d.shape)
+    whole = d.width
+    for c in d.chunks:
+        whole *= c
+    # most records of a node, and of a subtree, by level: they set the widths of counts
+    most = [(node - 10) // record]
+    below = [most[0]]
+    counted = _bytes_for(most[0])
+    for level in range(1, depth + 1):
+        pointer = 8 + counted + (_bytes_for(below[-1]) if level > 1 else 0)
+        most.append((node - 10 - pointer) // (record + pointer))
+        below.append((most[-1] + 1) * below[-1] + most[-1])
+
+    def walk(at: int, n: int, level: int) -> Iterator[bytes]:
+        extra = _bytes_for(below[level - 1]) if level > 1 else 0
+        pointer = 8 + counted + extra if level else 0
+        size = 6 + n * record + (n + 1) * pointer * bool(level)
+        raw = src.at(at, size)
+        if raw[:4] != (b"BTIN" if level else b"BTLF") or raw[5] != kind or n > most[level]:
+            raise Damaged("no tree node")
+        _sealed(raw, src.at(at + size, 4), "tree node")
+        own = [raw[6 + i * record : 6 + (i + 1) * record] for i in range(n)]
+        if not level:
+            yield from own
+            return
+        for i in range(n + 1):
+            p = 6 + n * record + i * pointer
+            child, k = struct.unpack_from("<Q", raw, p)[0], int.from_bytes(raw[p + 8 : p + 8 + counted], "little")
+            seen = 0
+            for r in walk(child, k, level - 1):
+                seen += 1
+                yield r
+            if extra and seen != int.from_bytes(raw[p + 8 + counted : p + pointer], "little"):
+                raise Damaged("a subtree has another number of records")
+            if i < n:
+                yield own[i]
+
+    if root == UNDEFINED:
+        return
+    seen, before = 0, None
+    for r in walk(root, n_root, depth):
+        at = struct.unpack_from(f"<{rank}Q", r, record - 8 * rank)
+        if before is not None and at <= before:
+            raise Damaged("coordinates don't increase")
+        before, seen = at, seen + 1
+        yield _entry(d, tuple(x * c for x, c in zip(at, d.chunks, strict=True)), r[: record - 8 * rank], kind == 11, whole)
+    if seen != total:
+        raise Damaged("the tree has another number of records")
+
+
 def _tree(src: Bytes, d: Dataset) -> Iterator[Chunk]:
     rank = len(d.shape)
     key = 8 + 8 * (rank + 1)
@@ -419,6 +600,10 @@ def chunks(src: Bytes, d: Dataset) -> Iterator[Chunk]:
             yield Chunk(origin, d.index[0] + rank * whole, whole)
     elif d.layout == "fixed_array":
         yield from _fixed_array(src, d)
+    elif d.layout == "extensible_array":
+        yield from _extensible_array(src, d)
+    elif d.layout == "tree2":
+        yield from _tree2(src, d)
     else:
         yield from _tree(src, d)
 
@@ -495,8 +680,8 @@ class Writer:
             return struct.pack("<BBBBI", 0x11, 0x20 | (order == ">"), 8 * size - 1, 0, size) + bytes(12)
         return struct.pack("<BBBBIHH", 0x10, (order == ">") | (8 if kind == "i" else 0), 0, 0, size, 0, 8 * size)
 
-    def add(self, name: str, shape: tuple[int, ...], dtype: str, layout: bytes, filters: list[tuple[int, list[int]]] = ()) -> None:
-        space = struct.pack("<BBBB", 2, len(shape), 0, 1) + struct.pack(f"<{len(shape)}Q", *shape)
+    def add(self, name: str, shape: tuple[int, ...], dtype: str, layout: bytes, filters: list[tuple[int, list[int]]] = (), most: tuple[int, ...] = ()) -> None:
+        space = struct.pack("<BBBB", 2, len(shape), bool(most), 1) + struct.pack(f"<{len(shape) + len(most)}Q", *shape, *most)
         parts = [(DATASPACE, space), (DATATYPE, self.type_of(dtype)), (LAYOUT, layout)]
         if filters:
             body = bytes([2, len(filters)])
@@ -546,6 +731,91 @@ class Writer:
                 self.put(self.sealed(b"".join(rows[p * per : (p + 1) * per])))
         self.add(name, shape, dtype, self._chunked(dims, int(dtype[2:]), 0, bytes([3, page_bits]) + struct.pack("<Q", head_at)), filters)
 
+    def extensible_array(self, name: str, shape: tuple[int, ...], most: tuple[int, ...], dims: tuple[int, ...], dtype: str, parts: dict[int, bytes], own: int = 2, least: int = 2, pointers: int = 2, page_bits: int = 2) -> None:
+        """``parts``: chunk bytes by element number."""
+        bits, offset_size, page = 16, 2, 1 << page_bits
+        at = {k: self.put(p) for k, p in parts.items()}
+        top = max(at, default=-1) + 1
+        head_at = len(self.data)
+        self.put(bytes(72))
+        entry = lambda k: struct.pack("<Q", at.get(k, UNDEFINED))
+        rows, direct = 1 + bits - (least.bit_length() - 1), 2 * (pointers.bit_length() - 1)
+        blocks, seconds, start = [], [], 0
+        for row in range(rows):
+            n, count = least << ((row + 1) // 2), 1 << (row // 2)
+            mine, marks = [], b""
+            for _ in range(count):
+                rest = b"EADB" + bytes([0, 0]) + struct.pack("<Q", head_at) + start.to_bytes(offset_size, "little")
+                here = any(own + start <= k < own + start + n for k in at)
+                raw = [entry(own + start + i) for i in range(n)]
+                if n > page:
+                    used = bytearray(-(-(n // page) // 8))
+                    body = self.sealed(rest)
+                    for p in range(n // page):
+                        used[p // 8] |= 128 >> p % 8
+                        body += self.sealed(b"".join(raw[p * page : (p + 1) * page]))
+                    marks += bytes(used)
+                else:
+                    body = self.sealed(rest + b"".join(raw))
+                mine.append(self.put(body) if here else UNDEFINED)
+                start += n
+                if start > 1 << bits:
+                    break
+            if row < direct:
+                blocks += mine
+            elif any(m != UNDEFINED for m in mine):
+                first = start - n * count
+                body = b"EASB" + bytes([0, 0]) + struct.pack("<Q", head_at) + first.to_bytes(offset_size, "little")
+                seconds.append(self.put(self.sealed(body + marks + struct.pack(f"<{count}Q", *mine))))
+            else:
+                seconds.append(UNDEFINED)
+            if start + own >= top:
+                seconds += [UNDEFINED] * (rows - direct - len(seconds))
+                blocks += [UNDEFINED] * (2 * (pointers - 1) - len(blocks))
+                break
+        body = b"EAIB" + bytes([0, 0]) + struct.pack("<Q", head_at) + b"".join(entry(k) for k in range(own))
+        index = self.put(self.sealed(body + struct.pack(f"<{len(blocks) + len(seconds)}Q", *blocks, *seconds)))
+        head = b"EAHD" + bytes([0, 0, 8, bits, own, least, pointers, page_bits]) + struct.pack("<7Q", 0, 0, 0, 0, top, top, index)
+        self.data[head_at : head_at + 72] = self.sealed(head)
+        self.add(name, shape, dtype, self._chunked(dims, int(dtype[2:]), 0, bytes([4, bits, own, least, pointers, page_bits]) + struct.pack("<Q", head_at)), most=most)
+
+    def tree2(self, name: str, shape: tuple[int, ...], dims: tuple[int, ...], dtype: str, parts: dict[tuple[int, ...], bytes], node: int = 128) -> None:
+        """``parts``: chunk bytes by scaled coordinate. Makes leaves, and one or two levels above them."""
+        rank = len(shape)
+        record = 8 + 8 * rank
+        records = [struct.pack(f"<Q{rank}Q", self.put(p), *at) for at, p in sorted(parts.items())]
+        most, below = (node - 10) // record, (node - 10) // record
+        level, todo = 0, []
+        while records:
+            todo.append((records[:most], records[most] if len(records) > most + 1 else None))
+            rest = records[most + 1 :] if len(records) > most + 1 else records[most:]
+            if len(records) == most + 1:
+                todo[-1] = (records[: most - 1], records[most - 1])
+                rest = records[most:]
+            records = rest
+        nodes = [(self.put(self.sealed(b"BTLF" + bytes([0, 10]) + b"".join(own))), len(own), len(own), up) for own, up in todo]
+        counted = _bytes_for(most)
+        while len(nodes) > 1:
+            level += 1
+            extra = _bytes_for(below) if level > 1 else 0
+            fan = (node - 10 - 8 - counted - extra) // (record + 8 + counted + extra) + 1
+            groups = [nodes[i : i + fan] for i in range(0, len(nodes), fan)]
+            if len(groups) > 1 and len(groups[-1]) == 1:
+                groups[-1].insert(0, groups[-2].pop())
+            made = []
+            for g in groups:
+                inner = [x[3] for x in g[:-1]]
+                body = b"BTIN" + bytes([0, 10]) + b"".join(inner)
+                for child, n, total, _ in g:
+                    body += struct.pack("<Q", child) + n.to_bytes(counted, "little") + (total.to_bytes(extra, "little") if extra else b"")
+                made.append((self.put(self.sealed(body)), len(inner), sum(x[2] for x in g) + len(inner), g[-1][3]))
+            below = fan * below + fan - 1
+            nodes = made
+        root, n, total, _ = nodes[0] if nodes else (UNDEFINED, 0, 0, None)
+        head = b"BTHD" + bytes([0, 10]) + struct.pack("<IHHBBQHQ", node, record, level, 100, 40, root, n, total)
+        at = self.put(self.sealed(head))
+        self.add(name, shape, dtype, self._chunked(dims, int(dtype[2:]), 0, bytes([5]) + struct.pack("<IBB", node, 100, 40) + struct.pack("<Q", at)))
+
     def finish(self) -> bytes:
         link = lambda n, a: bytes([1, 0, len(n.encode())]) + n.encode() + struct.pack("<Q", a)
         root = self.header([(LINK, link(n, a)) for n, a in self.links])

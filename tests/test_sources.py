@@ -168,3 +168,46 @@ def test_one_byte_correction_is_unique():
     hurt = bytearray(body)
     hurt[9] = 77
     assert arrays.one_byte_corrections(bytes(hurt), lookup3(body)) == [(9, body[9])]
+
+
+def test_extensible_array():
+    free = container.UNDEFINED
+    values = np.arange(40 * 6).reshape(40, 6).astype("<u4")
+    for shape, most, page_bits in (((40, 6), (free, 6), 2), ((40, 6), (free, 8), 10), ((6, 40), (6, free), 3)):
+        v = values if shape[0] == 40 else values.T.copy()
+        dims = (2, 3) if shape[0] == 40 else (3, 2)
+        w = container.Writer()
+        parts, want = {}, {}
+        axis = most.index(free)
+        other = -(-most[1 - axis] // dims[1 - axis])
+        for i in range(0, shape[0], dims[0]):
+            for j in range(0, shape[1], dims[1]):
+                raw = v[i : i + dims[0], j : j + dims[1]].tobytes()
+                at = (i // dims[0], j // dims[1])
+                if (i + j) % 7 == 5:
+                    continue  # not allocated
+                parts[at[axis] * other + at[1 - axis]] = raw
+                want[i, j] = raw
+        w.extensible_array("x", shape, most, dims, "<u4", parts, page_bits=page_bits)
+        _, src, found = container.survey(w.finish())
+        (d,) = found.datasets
+        got = {c.origin: src.at(c.offset, c.size) for c in container.chunks(src, d) if c.offset is not None}
+        assert d.layout == "extensible_array" and got == want
+
+
+def test_version_two_tree():
+    for n in (1, 2, 4, 5, 6, 13, 60, 200):
+        w = container.Writer()
+        parts = {(i, j): struct.pack("<4i", i, j, n, -1) for i in range(n) for j in range(2) if (i + j) % 5}
+        w.tree2("x", (2 * n, 4), (2, 2), "<i4", parts)
+        data = w.finish()
+        _, src, found = container.survey(data)
+        (d,) = found.datasets
+        got = {tuple(o // 2 for o in c.origin): src.at(c.offset, c.size) for c in container.chunks(src, d)}
+        assert d.layout == "tree2" and got == parts
+        if len(parts) > 20:
+            hurt = bytearray(data)
+            hurt[data.find(b"BTLF") + 9] ^= 1
+            _, src, found = container.survey(bytes(hurt))
+            with pytest.raises(container.Damaged):
+                list(container.chunks(src, found.datasets[0]))
