@@ -211,3 +211,16 @@ def test_version_two_tree():
             _, src, found = container.survey(bytes(hurt))
             with pytest.raises(container.Damaged):
                 list(container.chunks(src, found.datasets[0]))
+
+
+def test_data_source(spark, folder):
+    from lodestack.sources import datasource
+
+    datasource.register(spark)
+    read = spark.read.format("arraychunks").option("slices", "3")
+    got = read.load(f"{folder}/*.h5")
+    want = arrays.chunks(arrays.files(spark, folder))
+    key = lambda df: sorted((r.path, tuple(r.origin), r.status, None if r.data is None else bytes(r.data)) for r in df.collect())
+    assert key(got) == key(want)
+    bare = read.option("payload", "false").option("dataset", "/filtered").load(f"{folder}/*.h5")
+    assert sorted(r.status for r in bare.collect()) == ["accepted"] * 7 + ["unknown"]
