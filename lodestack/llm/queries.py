@@ -16,4 +16,11 @@ QUERIES = {
     "op9_embedding_dedup": multiindex.op9_embedding_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_embedding_dedup": """with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings
+where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join l on r.b = l.a),
+n as (select a, count(*) as n from l group by 1), c as (select a, min(b) as component_id from reach group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c on c.a = vec_id left join n on n.a = vec_id""",
+}
