@@ -109,6 +109,26 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def routes(
+    write_flag: bool = False,
+    past_end: bool = False,
+    native_first: bool = False,
+    corrected: bool = False,
+    readable: bool = False,
+) -> list[str]:
+    """The routes to try for a dataset, in order, from the file's condition. ``native_first``: the path is in the reserved group, the run
+    resumes another, or the superblock's checksum fails; ``corrected``: counts or filter fields of rooted objects were set right."""
+    if write_flag:
+        return ["status"]
+    if past_end:
+        return ["truncated_chunks", "nonchunked"]
+    order = ["structural", "large_structural", "relocated_native", "nonchunked"] + ["readable"] * readable + ["native_stream"]
+    if native_first or corrected:
+        order.remove("native_stream")
+        order.insert(0, "native_stream")
+    return order
+
+
 def route(attempts: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
     """The route to keep of each dataset: more coverage wins, the first attempt of a tie; attempts that were contradicted stop
     the dataset altogether, unsupported ones are passed over."""

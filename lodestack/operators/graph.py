@@ -13,19 +13,15 @@ def reachable(links: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFr
 
     ``links``: source, target; ``roots``: node. The driver sees only whether a level is empty.
     """
-    frontier = roots.select("node").distinct().withColumn("depth", F.lit(0))
+    links = links.select("source", "target").distinct().persist()
+    frontier = roots.select("node").distinct().withColumn("depth", F.lit(0)).persist()
     seen = frontier
     for depth in range(1, max_depth + 1):
-        step = (
-            frontier.join(links, frontier["node"] == links["source"])
-            .select(F.col("target").alias("node"))
-            .distinct()
-            .join(seen.select("node"), "node", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        step = step.persist()
+        met = frontier.join(links, frontier["node"] == links["source"])
+        step = met.select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        step = step.withColumn("depth", F.lit(depth)).persist()
         if step.isEmpty():
-            return seen
+            break
         seen, frontier = seen.unionByName(step), step
     return seen
 

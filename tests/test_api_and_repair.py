@@ -77,6 +77,13 @@ def test_routes(spark):
     assert {(r.path, r.attempt) for r in api.route(df).collect()} == {("/a", 1), ("/c", 2)}
 
 
+def test_route_order():
+    assert api.routes(write_flag=True, past_end=True) == ["status"]
+    assert api.routes(past_end=True) == ["truncated_chunks", "nonchunked"]
+    assert api.routes(readable=True)[-2:] == ["readable", "native_stream"] and api.routes()[0] == "structural"
+    assert api.routes(corrected=True)[:2] == ["native_stream", "structural"]
+
+
 def test_strict_json():
     assert api.strict_json('{"a": 1}', ["a", "b"]) == {"a": 1}
     for bad in ('{"a": 1, "a": 2}', '{"c": 1}', "[1]", '{"a": NaN}'):
