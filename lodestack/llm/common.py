@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def materialise(df: DataFrame, name: str, sort_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not what was written before.
@@ -43,11 +43,6 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def chars_at(bits, n: int):
-    """The lowest ``n`` characters of ``bits`` as a zero-padded lower-case hex string."""
-    return F.lower(F.lpad(F.hex(bits), n, "0"))
-
-
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     ship(df.sparkSession)
