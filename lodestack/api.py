@@ -157,3 +157,16 @@ def strict_json(text: str, known: Sequence[str], most: int = 1 << 20) -> dict:
     if not isinstance(out, dict) or set(out) - set(known):
         raise ValueError("not an object of known keys")
     return out
+
+
+def capabilities() -> dict:
+    """What this build reads and decodes (SURVEY: V10)."""
+    from .functions import codecs
+
+    return {
+        "superblocks": [0, 1, 2, 3],
+        "layouts": ["compact", "contiguous", "single", "implicit", "fixed_array", "extensible_array", "tree", "tree2"],
+        "types": ["integer", "float", "fixed string"],
+        "filters": sorted(codecs.DECODERS),
+        "statuses": list(STATUSES),
+    }

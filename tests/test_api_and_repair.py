@@ -133,3 +133,33 @@ def test_sibling_bridge():
     assert repair.sibling_bridge(data, 0, 2 * size) == size
     assert repair.sibling_bridge(node(none, size) + node(0, 2 * size, 1) + node(size, none), 0, 2 * size) is None
     assert repair.sibling_bridge(node(none, 2 * size) + node(0, 2 * size) + node(size, none), 0, 2 * size) is None
+
+
+def test_every_index_pointer_comes_back(tmp_path):
+    w = container.Writer()
+    w.fixed_array("a", (4, 4), (2, 2), "<i4", [bytes(16)] * 4)
+    w.extensible_array("b", (12, 2), (container.UNDEFINED, 2), (2, 2), "<i4", {k: bytes(16) for k in range(6)})
+    w.tree2("c", (60, 2), (2, 2), "<i4", {(i, 0): bytes(16) for i in range(30)})
+    good = w.finish()
+    for word, (_, place, _) in repair.POINTERS.items():
+        data = bytearray(good)
+        at = good.find(word) + place
+        data[at : at + 8] = struct.pack("<Q", 4242)
+        assert repair.apply(bytes(data), repair.plan(bytes(data), repair.find(bytes(data)))) == good
+    assert repair.find(good) == []
+    from lodestack.__main__ import main
+
+    data = bytearray(good)
+    at = good.find(b"EAHD") + 60
+    data[at] ^= 255
+    (tmp_path / "bad").write_bytes(bytes(data))
+    import contextlib
+    import io
+
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        assert main(["plan", str(tmp_path / "bad")]) == 0
+    (tmp_path / "plan").write_text(out.getvalue())
+    assert main(["apply", str(tmp_path / "bad"), str(tmp_path / "plan"), str(tmp_path / "good")]) == 0
+    assert (tmp_path / "good").read_bytes() == good
+    with pytest.raises(FileExistsError):
+        main(["apply", str(tmp_path / "bad"), str(tmp_path / "plan"), str(tmp_path / "good")])

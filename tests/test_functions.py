@@ -78,3 +78,37 @@ def test_decoding_as_a_column(spark):
 def test_checksum_column(spark):
     df = spark.createDataFrame([(b"Four score and seven years ago",), (None,)], "b binary")
     assert [r[0] for r in df.select(checksums.udf(checksums.lookup3)("b")).collect()] == [0x17770551, None]
+
+
+def test_text_forms(spark):
+    from pyspark.sql import functions as F
+
+    from lodestack.functions import text
+
+    value = {"b": [1, b"\x00\xff", {"x": None}], "a": "é"}
+    assert text.from_token(text.token(value)) == value
+    assert text.canonical({"b": 1, "a": [1.5, True]}) == '{"a":[1.5,true],"b":1}'
+    with pytest.raises(ValueError):
+        text.canonical(float("nan"))
+    assert text.shown("/a\nb") == "/a\\nb" and len(text.shown("x" * 999)) == 200
+    assert text.rebased({"p": "/a/b", "q": ["/ab", "/a"]}, "/a", "/z") == {"p": "/z/b", "q": ["/ab", "/z"]}
+    assert text.numbered("f%b_%%.h5", 12) == "f12_%.h5"
+    with pytest.raises(ValueError):
+        text.numbered("f%d", 1)
+    df = spark.createDataFrame([("f12.h5",), ("fx.h5",), ("f1.h5x",)], "n string")
+    assert [r[0] for r in df.select(text.block_of(F.col("n"), "f%b.h5")).collect()] == [12, None, None]
+    df = spark.createDataFrame([("a" * 64,), ("A" * 64,), (None,)], "n string")
+    assert [r[0] for r in df.select(text.is_digest(F.col("n"))).collect()] == [True, False, False]
+
+
+def test_frames():
+    from lodestack.streaming import frames
+
+    data = b"".join(frames.pack({"unit": i}, bytes([i]) * i * 10) for i in range(4))
+    got = list(frames.unpack(data))
+    assert [(h["unit"], len(p)) for h, p, _ in got] == [(0, 0), (1, 10), (2, 20), (3, 30)] and got[-1][2] == len(data)
+    assert len(list(frames.unpack(data[:-1]))) == 3 and list(frames.unpack(b"123")) == []
+    hurt = bytearray(data)
+    hurt[-1] ^= 1
+    with pytest.raises(ValueError):
+        list(frames.unpack(bytes(hurt)))
