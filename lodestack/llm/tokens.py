@@ -216,7 +216,8 @@ def read_image(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode ``docs`` and write token files; returns the table of them (part, shard, n_docs, n_tokens, image).
+    """Encode ``docs`` and write token files; returns the table of them (part, shard, within, n_docs, n_tokens, image), ``within``
+    being the tokens of the part before the file.
 
     Documents are dealt out by ranges of doc_id, so files are in ascending order across parts and shards. Repeated doc_ids
     stand beside each other in order of text; a null text is an empty document, a null doc_id sorts first.
@@ -232,19 +233,20 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, within = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            nonlocal held, size, shard
+            nonlocal held, size, shard, within
             doc_ids = [x for h in held for x in h[0]]
             counts, ids = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-            row = [[part], [shard], [len(doc_ids)], [len(ids)], [image(doc_ids, counts, ids)]]
-            held, size, shard = [], 0, shard + 1
+            row = [[part], [shard], [within], [len(doc_ids)], [len(ids)], [image(doc_ids, counts, ids)]]
+            held, size, shard, within = [], 0, shard + 1, within + len(ids)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
-                ["part", "shard", "n_docs", "n_tokens", "image"],
+                [pa.array(c, t) for c, t in zip(row, kinds, strict=True)],
+                ["part", "shard", "within", "n_docs", "n_tokens", "image"],
             )
 
         for batch in batches:
@@ -268,7 +270,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_
         if held:
             yield flush()
 
-    schema = "part int, shard int, n_docs bigint, n_tokens bigint, image binary"
+    schema = "part int, shard int, within bigint, n_docs bigint, n_tokens bigint, image binary"
     return materialise(map_arrow(ranged, run, schema), "token-files")
 
 
@@ -279,12 +281,8 @@ def read(files: DataFrame) -> DataFrame:
         F.col("part").alias("p"),
         F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
-    shards = files.select("part", "shard", "n_tokens")
-    in_part = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    at = shards.select(
-        F.col("part").alias("p"), F.col("shard").alias("s"), F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0)).alias("within")
-    ).join(before, "p")
-    based = files.join(at, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s"))).select(
+    # as many rows as there were range partitions, so the table may be broadcast, and the images stay where they are
+    based = files.join(F.broadcast(before), F.col("part") == F.col("p")).select(
         (F.col("before") + F.col("within")).alias("base"), "image"
     )
 
