@@ -1,4 +1,5 @@
 import pytest
+from llm_cases import ODD
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, ids string"
 
@@ -14,13 +15,6 @@ def docs(spark):
     return make
 
 
-#: Null, empty, white space, short, repeated rows, a null id, and a long text.
-ODD = [
-    (1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "one two three"), (5, "one two three"), (None, "one two three"),
-    (7, "a  b   c\n\n\nd <|endoftext|> é 日本"), (8, "wörd token = 'abcdefgh12' " * 3000), (9, "x" * 50_000),
-]
-
-
 @pytest.fixture(scope="session")
 def odd(docs):
     return docs(ODD)

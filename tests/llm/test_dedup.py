@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import ODD
+from llm_cases import ODD
 from xxhash import xxh64_intdigest
 
 from lodestack.llm import multiindex, simhash

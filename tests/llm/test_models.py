@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from conftest import ODD
+from llm_cases import ODD
 from pyspark.sql import functions as F
 
 from lodestack.llm import decontaminate, masked_lm, quality

@@ -2,7 +2,7 @@ import hashlib
 import math
 import re
 
-from conftest import ODD
+from llm_cases import ODD
 
 from lodestack.llm import licenses, secrets
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD
+from llm_cases import ODD
 
 from lodestack.llm import packing, tokens
 
