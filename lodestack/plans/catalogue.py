@@ -433,19 +433,30 @@ def q27_reconcile(spark, sf_dir):
 s as (select c_nationkey % 5 as region, c_custkey as source_point, row_number() over (partition by c_nationkey % 5 order by c_custkey) as k from customer where c_custkey % 97 = 0)
 select n_regionkey, virtual_point, source_point, case when source_point is null then 0 else 1 end as status from v left join s on region = n_regionkey and s.k = v.k""")
 def q28_positional_pairs(spark, sf_dir):
-    """The k-th virtual point takes the k-th source point; a missing one stays unknown."""
+    """The k-th virtual point takes the k-th source point; a missing one stays unknown. Every 97th customer is a source, as in
+    the SQL; q54_all_positional_pairs takes all."""
+    return _positional_pairs(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 97 = 0"))
+
+
+def _positional_pairs(spark, sf_dir, customers: DataFrame) -> DataFrame:
     at = lambda by, key: F.row_number().over(Window.partitionBy(by).orderBy(key))
     virtual = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("virtual_point"))
+    most = max((r["count"] for r in virtual.groupBy("n_regionkey").count().collect()), default=0)  # a row a region
     virtual = virtual.withColumn("k", at("n_regionkey", "virtual_point"))
-    source = table(spark, sf_dir, "customer").where("c_custkey % 97 = 0").select(
-        (F.col("c_nationkey") % 5).alias("n_regionkey"), F.col("c_custkey").alias("source_point")
-    )
-    source = source.withColumn("k", at("n_regionkey", "source_point"))
+    source = customers.select((F.col("c_nationkey") % 5).alias("n_regionkey"), F.col("c_custkey").alias("source_point"))
+    # later points have no partner; the bound lets every task drop them before the shuffle
+    source = source.withColumn("k", at("n_regionkey", "source_point")).where(F.col("k") <= most)
     return virtual.join(source, ["n_regionkey", "k"], "left").select(
         "n_regionkey", "virtual_point", "source_point", F.when(F.col("source_point").isNull(), 0).otherwise(1).alias("status")
     )
 
 
+@query()
+def q54_all_positional_pairs(spark, sf_dir):
+    """q28_positional_pairs with every customer as a source."""
+    return _positional_pairs(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
 @query(f"""select member, count(*) as parts, cast(sum(least(stop, (member + 1) * 1000) - greatest(start, member * 1000)) as bigint) as bytes
 from (select start, stop, unnest(range(start // 1000, (stop - 1) // 1000 + 1)) as member from (select start, start + (stop - start) * 40 as stop from ({_EXTENT_SQL}))) group by 1""")
 def q29_member_addresses(spark, sf_dir):

@@ -175,8 +175,13 @@ def q49_windowed_events(spark, sf_dir):
 @query("""select a.l_orderkey, a.l_linenumber, a.l_partkey as value from lineitem a join (select l_orderkey, l_linenumber, case when l_orderkey % 31 = 0 then null when l_orderkey % 37 = 0 then l_partkey + 1 else l_partkey end as v from lineitem) b
 on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_partkey is not distinct from b.v where a.l_linenumber = 1""")
 def q50_two_readers(spark, sf_dir):
-    """Values on which two independent readers agree bit for bit."""
-    one = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("value"))
+    """Values on which two independent readers agree bit for bit. Of lines numbered 1, as in the SQL;
+    q55_two_readers_of_all takes all."""
+    return _two_readers(table(spark, sf_dir, "lineitem").where("l_linenumber = 1"))
+
+
+def _two_readers(lines):
+    one = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("value"))
     k = F.col("l_orderkey")
     other = one.select(
         "l_orderkey", "l_linenumber", F.when(k % 31 != 0, F.when(k % 37 == 0, F.col("value") + 1).otherwise(F.col("value"))).alias("other")
@@ -185,6 +190,12 @@ def q50_two_readers(spark, sf_dir):
     return both.where(F.col("value").eqNullSafe(F.col("other"))).select("l_orderkey", "l_linenumber", "value")
 
 
+@query()
+def q55_two_readers_of_all(spark, sf_dir):
+    """q50_two_readers over all lines."""
+    return _two_readers(table(spark, sf_dir, "lineitem"))
+
+
 @query("""with was as (select doc_id, sha256(case when doc_id % 5 = 0 then text || '!' else text end) as digest from documents where doc_id % 3 <> 0)
 select d.doc_id, coalesce(sha256(d.text) = was.digest, false) as reused from documents d left join was using (doc_id)""")
 def q51_batch_resume(spark, sf_dir):
@@ -200,8 +211,12 @@ def q51_batch_resume(spark, sf_dir):
 select a.source, a.l_orderkey as first_order, b.l_orderkey as second_order, a.l_linenumber as first_line, b.l_linenumber as second_line from e a join e b
 on a.source = b.source and a.start < b.stop and b.start < a.stop and (a.l_orderkey, a.l_linenumber) < (b.l_orderkey, b.l_linenumber)""")
 def q52_conflicting_proposals(spark, sf_dir):
-    """All pairs of proposals of a source that claim a common byte."""
-    rows = _extents(spark, sf_dir).where("source <= 20 and l_orderkey % 4 = 0")
+    """Pairs of proposals of a source that claim a common byte. Of 20 sources and every fourth order, as in the SQL;
+    q56_all_conflicting_proposals takes all."""
+    return _conflicts(_extents(spark, sf_dir).where("source <= 20 and l_orderkey % 4 = 0"))
+
+
+def _conflicts(rows):
     side = lambda a, b: rows.select(
         "source", F.col("start").alias(f"{a}_start"), F.col("stop").alias(f"{a}_stop"), F.col("l_orderkey").alias(f"{b}_order"), F.col("l_linenumber").alias(f"{b}_line")
     )
@@ -210,6 +225,12 @@ def q52_conflicting_proposals(spark, sf_dir):
     return pairs.where(earlier).select("source", "first_order", "second_order", "first_line", "second_line")
 
 
+@query()
+def q56_all_conflicting_proposals(spark, sf_dir):
+    """All pairs of proposals of a source that claim a common byte."""
+    return _conflicts(_extents(spark, sf_dir))
+
+
 @query("""select l_orderkey // 512 as stripe, count(*) as members, cast(sum(l_partkey % 3) as bigint) as checks, count(distinct l_partkey) = count(*) as distinct_ids from lineitem group by 1""")
 def q53_distinctness(spark, sf_dir):
     """Unique ids and subtree totals."""
