@@ -18,7 +18,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 # Hand-written signature rules by group. A group has a priority (texts of notices before named versions before bare names) and
-# its rules have a keyword that a matching text must hold, the label, and the regex over normalised words.
+# its rules have a keyword that every match holds as a word (with * as the start of one), the label, and the regex over normalised
+# words.
 _VERSION = r"(?:v|ver|version|versions)?"
 NOTICES = (
     ("warranty", "mit", r"the software is provided as is without warranty of any kind"),
@@ -43,7 +44,7 @@ NOTICES = (
     ("mozilla", "mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1"),
     ("eclipse", "epl", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("unencumbered", "unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "wtfpl", r"do what the fuck you want to public license"),
+    ("fuck", "wtfpl", r"do what the fuck you want to public license"),
     ("misrepresented", "zlib", r"the origin of this software must not be misrepresented"),
     ("boost", "bsl-1.0", r"distributed under the boost software license version 1 0"),
     ("artistic", "artistic-2.0", r"under the terms of the artistic license 2 0"),
@@ -99,7 +100,7 @@ _NAMED = (
     ("ogl", "open government licence", ("1.0", "2.0", "3.0"), "government"),
     ("cdla", "community data license agreement", (), "community"),
     ("llama", "llama [0-9 ]*community license", (), "llama"),
-    ("rail", "open ?rail(?: [ms])?", (), "rail"),
+    ("rail", "open ?rail(?: [ms])?", (), "open*"),
 )
 
 
@@ -107,11 +108,16 @@ def _words(version: str) -> str:
     return version.removesuffix(".0").replace(".", " ") + ("(?: 0)?" if version.endswith(".0") or "." not in version else "")
 
 
+def _gate(keyword: str) -> str:
+    """What a normalised text holds where the keyword stands."""
+    return f" {keyword[:-1]}" if keyword.endswith("*") else f" {keyword} "
+
+
 def rules() -> list[dict]:
-    """The signature rules in order: keyword, label, regex, priority (higher wins) and confidence."""
-    out = [{"keyword": k, "label": n, "regex": r, "priority": 3, "confidence": 0.95} for k, n, r in NOTICES]
+    """The signature rules in order: gate (a text without it has no match), label, regex, priority (higher wins) and confidence."""
+    out = [{"gate": _gate(k), "label": n, "regex": r, "priority": 3, "confidence": 0.95} for k, n, r in NOTICES]
     put = lambda keyword, label, regex, priority, confidence: out.append(
-        {"keyword": keyword, "label": label, "regex": regex, "priority": priority, "confidence": confidence}
+        {"gate": _gate(keyword), "label": label, "regex": regex, "priority": priority, "confidence": confidence}
     )
     for part, name in _CC_PARTS:
         for v in _CC_VERSIONS:
@@ -125,7 +131,7 @@ def rules() -> list[dict]:
     for label, name, versions in _GNU:
         for v in versions:
             put("license", f"{label}-{v}", rf"(?:gnu )?{name} {_VERSION} ?{_words(v)}(?: or (?:any )?later(?: version)?)?", 2, 0.95)
-            put(label, f"{label}-{v}", rf"{label} ?v? ?{_words(v)}(?: only| or later)?", 2, 0.85)
+            put(f"{label}*", f"{label}-{v}", rf"{label} ?v? ?{_words(v)}(?: only| or later)?", 2, 0.85)
         put("gnu", label, rf"gnu {name}", 1, 0.8)
         put(label, label, rf"(?:gnu )?{label}", 0, 0.5)
     for label, name, versions, keyword in _NAMED:
@@ -149,7 +155,7 @@ def _lit_rules() -> Column:
     return F.array(
         *[
             F.struct(
-                F.lit(r["keyword"]).alias("keyword"),
+                F.lit(r["gate"]).alias("gate"),
                 F.lit(r["label"]).alias("label"),
                 F.lit(f" (?:{r['regex']})(?= )").alias("regex"),
                 F.lit(r["priority"]).alias("priority"),
@@ -219,10 +225,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(norm.contains(f" {phrase} "), at).otherwise(none)
 
     base = F.flatten(F.array(*[labelled(*x) for x in BASE]))
-    keywords = sorted({r["keyword"] for r in rules()})
-    gate = " (?:" + "|".join(keywords) + ") "
-    present = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: norm.contains(F.concat(F.lit(" "), k, F.lit(" "))))
-    live = F.filter(_lit_rules(), lambda r: F.array_contains(F.col("__present"), r["keyword"]) & F.regexp_like(norm, r["regex"]))
+    gates = sorted({r["gate"] for r in rules()})
+    any_gate = " (?:" + "|".join(g[1:] for g in gates) + ")"
+    present = F.filter(F.array(*[F.lit(g) for g in gates]), lambda g: norm.contains(g))
+    live = F.filter(_lit_rules(), lambda r: F.array_contains(F.col("__present"), r["gate"]) & F.regexp_like(norm, r["regex"]))
     hits = F.flatten(
         F.transform(
             F.col("__live"),
@@ -276,7 +282,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     found = F.aggregate(F.array_sort(F.col("__hits")), first, keep)["out"]
     empty_words, empty_rules = F.array().cast("array<string>"), F.slice(_lit_rules(), 1, 0)
     return (
-        out.withColumn("__present", F.when(norm.rlike(gate), present).otherwise(empty_words))
+        out.withColumn("__present", F.when(norm.rlike(any_gate), present).otherwise(empty_words))
         .withColumn("__live", F.when(F.size("__present") > 0, live).otherwise(empty_rules))
         .withColumn("__hits", hits)
         .withColumn(

@@ -98,6 +98,38 @@ def test_license_rules_and_suppression(docs):
     assert len(licenses.rules()) > 200
 
 
+def texts_of(pattern):
+    """Texts that a rule's regex matches: all branches, optional parts left out and put in."""
+    out = [""]
+    for op, arg in pattern:
+        match str(op):
+            case "LITERAL":
+                parts = [chr(arg)]
+            case "IN":
+                parts = [chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg]
+            case "SUBPATTERN":
+                parts = texts_of(arg[-1])
+            case "BRANCH":
+                parts = [t for branch in arg[1] for t in texts_of(branch)]
+            case "MAX_REPEAT":
+                parts = [t * n for t in texts_of(arg[2]) for n in {arg[0], max(arg[0], 1)}]
+        out = [a + b for a in out for b in parts]
+    return out
+
+
+def test_every_match_passes_its_gate():
+    for r in licenses.rules():
+        for t in texts_of(re._parser.parse(r["regex"])):
+            assert re.fullmatch(r["regex"], t) and r["gate"] in f" {t} ", (r, t)
+
+
+def test_license_names_written_as_one_word(docs):
+    names = {"GPLv3": "gpl-3", "GPLv2": "gpl-2", "LGPLv3": "lgpl-3", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "GPL3": "gpl-3", "OpenRAIL-M": "rail"}
+    df = docs([(i, f"This is {n}.") for i, n in enumerate(names)])
+    got = {r.doc_id: [f.label for f in r.license.found] for r in licenses.scan(df).collect()}
+    assert got == {i: [label] for i, label in enumerate(names.values())}
+
+
 def test_entries_run(spark, sf):
     a, b = secrets.op4_secret_scan(spark, sf).collect(), licenses.op5_license_scan(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
