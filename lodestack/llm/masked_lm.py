@@ -2,8 +2,9 @@
 
 Tokens are lower-cased words, hashed into ``BINS`` bins; the most frequent bins of the whole corpus have an id of their own, the rest
 share ``REST`` ids. The network sums position-dependent embeddings of the two words on either side, applies tanh, and
-predicts the word's frequency class and the word within its class. A document's score is the sum of the conditional
-log-probabilities of all its tokens.
+predicts the id's frequency class and the id within its class; log P(bin | id), by the counts of the whole corpus, is added, so that the
+bins of a rest id are told apart and the probabilities of all bins add up to one. A document's score is the sum of the
+conditional log-probabilities of all its tokens.
 
 Training covers every document: in each round each one has every ``MASK_EVERY``-th position masked, at an offset of its own
 (rounds take different offsets). Tasks train from the same start on their own documents with AdaGrad, and their
@@ -203,6 +204,12 @@ def numbering(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.bincount(ids, counts, WORDS)
 
 
+def within(counts: np.ndarray, ids_of: np.ndarray) -> np.ndarray:
+    """log P(bin | its id) of each bin; 0 where the id is the bin's own."""
+    smooth = counts + 0.5
+    return np.log(smooth / np.bincount(ids_of, smooth, WORDS)[ids_of])
+
+
 def train(bins: DataFrame, ids_of: np.ndarray, flat: np.ndarray, nth: int) -> np.ndarray:
     """One round: local training in each task, and the mean of the parameters weighted by targets."""
     model = bins.sparkSession.sparkContext.broadcast((ids_of, flat))  # fixed size
@@ -234,8 +241,8 @@ def train(bins: DataFrame, ids_of: np.ndarray, flat: np.ndarray, nth: int) -> np
     return flat if total is None else (total[0] / total[1]).astype(np.float32)
 
 
-def fit(bins: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of bins, and the parameters after ``ROUNDS`` rounds over the corpus."""
+def fit(bins: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of bins, log P(bin | id), and the parameters after ``ROUNDS`` rounds over the corpus."""
     rows = histogram(bins).toArrow()  # at most BINS rows
     counts = np.zeros(BINS, np.int64)
     counts[rows["bin"].to_numpy()] = rows["n"].to_numpy()
@@ -243,21 +250,21 @@ def fit(bins: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     flat = start(per_id)
     for nth in range(ROUNDS):
         flat = train(bins, ids_of, flat, nth)
-    return ids_of, flat
+    return ids_of, within(counts, ids_of), flat
 
 
-def score_binned(bins: DataFrame, ids_of: np.ndarray, flat: np.ndarray) -> DataFrame:
-    model = bins.sparkSession.sparkContext.broadcast((ids_of, flat))
+def score_binned(bins: DataFrame, ids_of: np.ndarray, in_id: np.ndarray, flat: np.ndarray) -> DataFrame:
+    model = bins.sparkSession.sparkContext.broadcast((ids_of, in_id, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, flat = model.value
+        ids_of, in_id, flat = model.value
         p = unpack(flat)
         for part, got, counts in _chunks(batches, 1 << 18):
             ids, doc = ids_of[got], np.repeat(np.arange(len(counts)), counts)
             out = np.zeros(len(counts))
             for at in range(0, len(ids), 1 << 15):
                 targets = np.arange(at, min(at + (1 << 15), len(ids)))
-                lp = log_probabilities(p, contexts(ids, doc, targets), ids[targets])
+                lp = log_probabilities(p, contexts(ids, doc, targets), ids[targets]) + in_id[got[targets]]
                 out += np.bincount(doc[targets], lp, len(counts))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out)], ["doc_id", "n_tokens", "log_prob"]

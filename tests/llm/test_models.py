@@ -77,6 +77,26 @@ def test_lm_learns_and_ranks(spark, docs):
     assert got[500].n_tokens == 300 and abs(got[500].perplexity - np.exp(-got[500].mean_log_prob)) < 1e-6
 
 
+def test_lm_tells_rare_words_apart():
+    counts = np.random.default_rng(2).zipf(1.3, masked_lm.BINS).clip(max=10**6)
+    ids, _ = masked_lm.numbering(counts)
+    lp = masked_lm.within(counts, ids)
+    assert np.allclose(np.bincount(ids, np.exp(lp), masked_lm.WORDS), 1)  # so all bins' probabilities add up to one
+    own = ids < masked_lm.WORDS - masked_lm.REST
+    assert np.allclose(lp[own], 0) and (lp[~own] < -1).all()
+    a, b = (np.flatnonzero(~own & (counts == n))[0] for n in (counts[~own].max(), counts[~own].min()))
+    assert lp[a] > lp[b]
+
+
+def test_lm_scores_hold_the_place_in_the_rest_id(docs):
+    # distinct words only: what is beyond the ids of their own scores far below one of a few ids
+    text = " ".join(f"w{i}" for i in range(30_000))
+    bins = masked_lm.binned(docs([(1, text)])).cache()
+    ids, lp, flat = masked_lm.fit(bins)
+    with_, without = (masked_lm.score_binned(bins, ids, x, flat).first().log_prob for x in (lp, lp * 0))
+    assert without - with_ > 30_000  # above a nat a token, rest tokens being most
+
+
 def test_lm_odd_rows(docs, odd):
     got = masked_lm.score(odd).collect()
     assert len(got) == len(ODD)
