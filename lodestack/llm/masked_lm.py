@@ -6,8 +6,8 @@ predicts the id's frequency class and the id within its class; log P(bin | id),
 bins of a rest id are told apart and the probabilities of all bins add up to one. A document's score is the sum of the
 conditional log-probabilities of all its tokens.
 
-Training covers every document: in each round each one has every ``MASK_EVERY``-th position masked, at an offset of its own
-(rounds take different offsets). Tasks train from the same start on their own documents with AdaGrad, and their
+Training covers every token: a hash of doc_id and position deals the positions out to the rounds, so that each is masked in exactly one.
+Tasks train from the same start on their own documents with AdaGrad, and their
 parameters, weighted by the targets they saw, are summed by Spark in slices; so the data that is gathered grows with the corpus,
 and the driver holds one model of fixed size. No document is sampled away and no task sees more than its own partition.
 
@@ -38,7 +38,6 @@ PAD = WORDS
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 24
 ROUNDS = 2
-MASK_EVERY = 16
 RATE = 0.1
 
 
@@ -210,6 +209,14 @@ def within(counts: np.ndarray, ids_of: np.ndarray) -> np.ndarray:
     return np.log(smooth / np.bincount(ids_of, smooth, WORDS)[ids_of])
 
 
+def rounds_of(doc_id: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The round in which each position of each document is masked."""
+    x = doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(ROUNDS)).astype(np.int64)
+
+
 def train(bins: DataFrame, ids_of: np.ndarray, flat: np.ndarray, nth: int) -> np.ndarray:
     """One round: local training in each task, and the mean of the parameters weighted by targets."""
     model = bins.sparkSession.sparkContext.broadcast((ids_of, flat))  # fixed size
@@ -219,18 +226,16 @@ def train(bins: DataFrame, ids_of: np.ndarray, flat: np.ndarray, nth: int) -> np
         flat = flat.copy()
         p, g = unpack(flat), unpack(np.full(len(flat), 1e-4, np.float32))
         seen = 0
-        for _, got, counts in _chunks(batches):
+        for part, got, counts in _chunks(batches):
             doc = np.repeat(np.arange(len(counts)), counts)
             ids = ids_of[got]
             place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-            own = (counts * 2654435761 + nth * (MASK_EVERY // ROUNDS)) % MASK_EVERY
-            # a document shorter than the stride has its first word masked
-            own = np.where(own < counts, own, 0)
-            targets = np.flatnonzero(place % MASK_EVERY == own[doc])
+            doc_id = part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+            targets = np.flatnonzero(rounds_of(doc_id[doc], place) == nth)
             targets = np.random.default_rng(len(targets)).permutation(targets)
             around = contexts(ids, doc, targets)
             # small shares take smaller steps, so that they make enough of them
-            size = int(np.clip(len(targets) // 64, 32, 2048))
+            size = int(np.clip(len(targets) // 64, 32, 4096))
             for at in range(0, len(targets), size):
                 _step(p, g, around[:, at : at + size], ids[targets[at : at + size]])
             seen += len(targets)

@@ -97,6 +97,22 @@ def test_lm_scores_hold_the_place_in_the_rest_id(docs):
     assert without - with_ > 30_000  # above a nat a token, rest tokens being most
 
 
+def test_lm_every_position_is_a_target_once():
+    doc_id = np.repeat(np.array([-1, 5, 6, 10**12]), 1000)
+    got = masked_lm.rounds_of(doc_id, np.tile(np.arange(1000), 4))
+    assert set(got.tolist()) == set(range(masked_lm.ROUNDS))
+    assert (got[:1000] != got[1000:2000]).any() and abs(got.mean() - 0.5) < 0.05
+
+
+def test_lm_trains_on_every_token(docs, monkeypatch):
+    rows = [(1, "a b c"), (2, "a b c"), (None, "d"), (4, " ".join("abcdefgh" * 40)), (5, None)]
+    weights = []
+    summed = masked_lm.summed
+    monkeypatch.setattr(masked_lm, "summed", lambda *a: weights.append((got := summed(*a))[1]) or got)
+    masked_lm.fit(masked_lm.binned(docs(rows)))
+    assert sum(weights) == sum(len((t or "").split()) for _, t in rows)
+
+
 def test_lm_odd_rows(docs, odd):
     got = masked_lm.score(odd).collect()
     assert len(got) == len(ODD)
