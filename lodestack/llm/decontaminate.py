@@ -1,15 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of two blocks of ``STEP`` words. The vocabulary is that of the benchmark items (a stated query set; more than
-``ITEM_BLOCK`` of them go block by block); other words count in a passage's length only. Inverse document frequencies come from
+``ITEM_BLOCK`` parts of them go block by block); other words count in a passage's length only. Inverse document frequencies come from
 all blocks of all documents. Words in more than ``COMMON`` of the blocks are no features (they do count in verification), unless an item
 would keep too few. A randomised SVD of the TF-IDF blocks gives the latent space: with random directions
 R, every task forms A'AR of its blocks in one pass, as its words' co-occurrences times R, Spark adds these in slices, and the driver gets
 one matrix of the vocabulary's size, from which the single-pass (Nystrom) form of the decomposition follows. The items are rows of A as well, weighted to hold
 ``ITEM_ENERGY`` times the energy of all blocks, so that an item that leaked only once has its place in the space.
 
-Every passage is compared with every item by cosine in that space. What is at least ``COSINE`` is verified against the
-words around: the longest common subsequence must hold ``LCS`` of the item's words, or ``LCS_WITH_ANSWER`` of them
+Items are cut into parts of about a passage's length, and every passage is compared with every part by cosine in that space, so
+that the cosine doesn't fall with the item's length. What is at least ``COSINE`` is verified with the whole item against the words around: the longest common subsequence must hold ``LCS`` of the item's words, or ``LCS_WITH_ANSWER`` of them
 when most of the item's last words (its answer) are there, too. That catches inserted, dropped or replaced words.
 
 Null texts have no words. Items that are null or have fewer than ``LEAST_WORDS`` words are too short to tell and are ignored; without
@@ -34,7 +34,7 @@ from .words import word_codes
 
 STEP = 24
 ITEM_BLOCK = 200
-#: Dimensions of the latent space beyond one for each item.
+#: Dimensions of the latent space beyond one for each part of an item.
 MORE_DIMENSIONS = 56
 ITEM_ENERGY = 8.0
 COSINE = 0.25
@@ -52,6 +52,11 @@ def words_of(text: str | None) -> list[str]:
     return re.sub(r"[^\w\s]|_", " ", (text or "").lower()).split()
 
 
+def n_parts(n_words: int) -> int:
+    """In how many parts an item is searched: each about as long as a passage, and none above one and a half."""
+    return max(1, round(n_words / (2 * STEP)))
+
+
 @dataclass
 class Items:
     """A block of benchmark items: ids, words as codes of their common vocabulary."""
@@ -66,33 +71,39 @@ class Items:
     def codes(self) -> list[np.ndarray]:
         return [np.array([self.vocabulary[w] for w in ws], np.int32) for ws in self.words]
 
+    def parts(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The items cut for the search: the codes of each part, and its item's position."""
+        cut = [np.array_split(c, n_parts(len(c))) for c in self.codes()]
+        return [part for parts in cut for part in parts], np.repeat(np.arange(len(cut)), [len(parts) for parts in cut])
+
     def coder(self):
         known = self.vocabulary
         return lambda words: np.fromiter((known.get(w, -1) for w in words), np.int32, len(words))
 
 
 def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[Items]:
-    """The benchmark, read once as a stream of rows, in blocks of ``size`` items."""
+    """The benchmark, read once as a stream of rows, in blocks of up to ``size`` parts of items; an item of more has one of its own."""
     seen: set[tuple[str, ...]] = set()
-    ids, words = [], []
+    ids, words, parts = [], [], 0
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     for item_id, text in rows.orderBy("item_id", "text").toLocalIterator():
         ws = words_of(text)
         if len(ws) < LEAST_WORDS or tuple(ws) in seen:
             continue
+        if ids and parts + n_parts(len(ws)) > size:
+            yield Items(ids, words)
+            seen, ids, words, parts = set(), [], [], 0
         seen.add(tuple(ws))
         ids.append(item_id)
         words.append(ws)
-        if len(ids) == size:
-            yield Items(ids, words)
-            seen, ids, words = set(), [], []
+        parts += n_parts(len(ws))
     if ids:
         yield Items(ids, words)
 
 
 def coded(docs: DataFrame, items: Items) -> DataFrame:
     """doc_id and codes (binary, int32; -1: not in the vocabulary) of every row."""
-    known = docs.sparkSession.sparkContext.broadcast(items)  # at most ITEM_BLOCK items
+    known = docs.sparkSession.sparkContext.broadcast(items)  # at most ITEM_BLOCK parts, or one item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +172,8 @@ def weights(df: np.ndarray, n_blocks: int, items: Items) -> np.ndarray:
     """The weight of each word of the vocabulary: its held inverse document frequency; 0 where it is no feature."""
     idf = np.clip(np.log((n_blocks + 1) / (df + 1)) / 2, LEAST_IDF, MOST_IDF)
     use = df <= COMMON * n_blocks
-    for own in items.codes():
-        # an item whose passage stands in very many documents has no rare words; then its less frequent ones serve
+    for own in items.parts()[0]:
+        # a part whose passage stands in very many documents has no rare words; then its less frequent ones serve
         for most in (0.1, 1.0):
             if use[own].sum() >= max(5, KEPT * len(own)):
                 break
@@ -189,7 +200,8 @@ def _together(got: np.ndarray, of: np.ndarray, weight: np.ndarray, total: np.nda
 def latent_space(codes: DataFrame, idf: np.ndarray, items: Items, seed: int = 9) -> np.ndarray:
     """Orthonormal columns: the right singular vectors of the weighted blocks and items."""
     n = len(idf)
-    k = min(n, len(items.ids) + MORE_DIMENSIONS)
+    parts = items.parts()[0]
+    k = min(n, len(parts) + MORE_DIMENSIONS)
     directions = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, k)))[0].astype(np.float32)
     model = codes.sparkSession.sparkContext.broadcast((idf.astype(np.float32), directions))
 
@@ -209,8 +221,8 @@ def latent_space(codes: DataFrame, idf: np.ndarray, items: Items, seed: int = 9)
 
     got = summed(map_arrow(codes, run, SLICED), n * k)
     y, energy = (got[0].reshape(n, k), got[1]) if got else (np.zeros((n, k)), 0.0)
-    b = np.zeros((len(items.ids), n))
-    for row, own in zip(b, items.codes(), strict=True):
+    b = np.zeros((len(parts), n))
+    for row, own in zip(b, parts, strict=True):
         np.add.at(row, own, idf[own])
     y = y + (b.T @ (b @ directions)) * (ITEM_ENERGY * max(energy, 1.0) / (b**2).sum())
     # C is about Y (R'Y)^-1 Y', with R's columns orthonormal
@@ -253,11 +265,12 @@ class Model:
 
     def __post_init__(self) -> None:
         own = self.items.codes()
-        x = np.zeros((len(own), len(self.idf)))
-        for row, c in zip(x, own, strict=True):
+        parts, self.item_of = self.items.parts()
+        x = np.zeros((len(parts), len(self.idf)))
+        for row, c in zip(x, parts, strict=True):
             np.add.at(row, c, self.idf[c])
         norm = np.linalg.norm(x, axis=1, keepdims=True)
-        # the dot product with an item in the latent space, word by word
+        # the dot product with a part in the latent space, word by word
         self.by_word = (self.idf[:, None] * (self.space @ (self.space.T @ (x / norm).T))).astype(np.float32)
         self.own = [c.tolist() for c in own]
         self.masks = [_masks(c) for c in self.own]
@@ -265,14 +278,14 @@ class Model:
 
     def search(self, codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float, int, bool]]:
         """(document, item, cosine, common words, answer found) of what is verified, documents by their position."""
-        n_items = len(self.own)
+        n_parts = len(self.item_of)
         for i, j, got in _chunks(codes, counts, 1 << 17):
             per_doc = counts[i:j]
             of, doc, last = _blocks(per_doc)
             n = len(doc)
             in_it = (got >= 0) & (self.idf[got] > 0)
             word, block = got[in_it], of[in_it]
-            dots = np.zeros((n, n_items), np.float32)
+            dots = np.zeros((n, n_parts), np.float32)
             if len(word):
                 at = np.flatnonzero(np.diff(block, prepend=-1))
                 dots[block[at]] = np.add.reduceat(self.by_word[word], at, axis=0)
@@ -285,8 +298,8 @@ class Model:
             starts = np.cumsum(per_doc) - per_doc
             first_block = np.searchsorted(doc, np.arange(len(per_doc)))
             done: set[tuple[int, int]] = set()
-            for p, item in zip(*(a.tolist() for a in np.nonzero(near)), strict=True):
-                d = int(doc[p])
+            for p, part in zip(*(a.tolist() for a in np.nonzero(near)), strict=True):
+                d, item = int(doc[p]), int(self.item_of[part])
                 if (d, item) in done:
                     continue
                 own, place = self.own[item], (p - int(first_block[d])) * STEP
@@ -307,7 +320,7 @@ class Model:
                 answer = lcs(self.answers[item], tail, around) >= 0.75 * tail
                 if common >= LCS * len(own) or (answer and common >= LCS_WITH_ANSWER * len(own)):
                     done.add((d, item))
-                    yield i + d, item, float(dots[p, item] / np.sqrt(square[p])), common, answer
+                    yield i + d, item, float(dots[p, part] / np.sqrt(square[p])), common, answer
 
 
 def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Model, DataFrame]]:

@@ -168,6 +168,29 @@ def test_a_passage_in_many_documents(spark, docs):
     assert got == {d for d, _ in rows if d % 3 == 0}
 
 
+def test_long_items_are_found(spark, docs):
+    items, rows, _ = leaks(11)
+    r = random.Random(12)
+    vocabulary = words(r, 3000)
+    some = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    long = {1000 + n: some(n) for n in (600, 1000, 2000, 4000)}
+    rows = rows + [(i, f"{some(90)} {t} {some(70)}") for i, t in long.items()] + [(7000, some(3000))]
+    bench = spark.createDataFrame(items + list(long.items()), "item_id bigint, text string")
+    found = decontaminate.find(docs(rows), bench).where("item_id >= 1000").collect()
+    assert sorted((x.doc_id, x.item_id, x.common_words) for x in found) == [(i, i, i - 1000) for i in long]
+    left = {x.doc_id for x in decontaminate.remove(docs(rows), bench).collect()}
+    assert not left & long.keys() and 7000 in left
+
+
+def test_blocks_hold_parts_of_long_items(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate([20, 480, 20, 2000, 60])]
+    blocks = list(decontaminate.item_blocks(spark.createDataFrame(items, "item_id bigint, text string"), 12))
+    assert [b.ids for b in blocks] == [[0, 1, 2], [3], [4]]
+    parts, of = blocks[0].parts()
+    assert np.bincount(of).tolist() == [1, 10, 1]
+    assert np.concatenate(parts).tolist() == np.concatenate(blocks[0].codes()).tolist()
+
+
 def test_items_go_in_blocks(spark):
     items, _, _ = leaks()
     bench = spark.createDataFrame(items + items[:4], "item_id bigint, text string")
