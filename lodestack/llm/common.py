@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -14,10 +14,16 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where everything runs in one process (a local master) may it be unset; then a temporary folder serves.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="lodestack-"))
     return _own_folder[0]
@@ -31,7 +37,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestack_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``tables``, once nothing will read it again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._lodestack_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +59,45 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` evaluated once a row, however often ``use`` names it and in whatever lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Items that ``running`` folds before it starts a new array.
+SLICE_ITEMS = 256
+
+
+def running(items: Column, state: Column, step, out: str) -> Column:
+    """Walk the array ``items`` with a carried ``state``: ``step(state, item)`` gives the next state and the item's output.
+
+    The outputs, of type ``out``, come back as an array. A plain fold would copy its output array for every item; this one
+    folds slices, so a million items copy a few hundred each.
+    """
+
+    def whole(all_items: Column) -> Column:
+        last = F.floor((F.greatest(F.lit(1), F.size(all_items)) - 1) / SLICE_ITEMS).cast("int")
+        slices = F.transform(
+            F.sequence(F.lit(0), last), lambda k: F.slice(all_items, k * SLICE_ITEMS + 1, F.lit(SLICE_ITEMS))
+        )
+
+        def one(s: Column, x: Column) -> Column:
+            now, given = step(s["state"], x)
+            return F.struct(now.alias("state"), F.concat(s["out"], F.array(given)).alias("out"))
+
+        def part(s: Column, p: Column) -> Column:
+            begin = F.struct(s["state"].alias("state"), F.array().cast(f"array<{out}>").alias("out"))
+            return bound(
+                F.aggregate(p, begin, one),
+                lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], F.array(r["out"])).alias("out")),
+            )
+
+        first = F.struct(state.alias("state"), F.array().cast(f"array<array<{out}>>").alias("out"))
+        return F.flatten(F.aggregate(slices, first, part)["out"])
+
+    return bound(items, whole)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     ship(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges`` has columns ``a`` and ``b`` (bigint, any order; loops and repeats are ignored). Returns ``node``,
     ``root`` for every node with a link to another one. No edges give no rows. Each round shuffles what is left of the edges
     twice and is written to the shared folder; only a count and a checksum reach the driver. A node with very many
-    links is aggregated before it is shuffled, and the joins are plain ones that adaptive execution may split.
+    links is aggregated before it is shuffled, and the joins are plain ones. What a round wrote is deleted when the next one has been
+    written.
     """
     now = materialise(
         edges.where(F.col("a") != F.col("b"))
@@ -54,7 +55,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where(F.col("a") != F.col("b"))
             .distinct()
         )
-        now = materialise(small, "small-star")
+        before, now = now, materialise(small, "small-star")
+        release(before, large)
         after = _signature(now)
         if after == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

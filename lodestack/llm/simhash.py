@@ -14,6 +14,7 @@ counts last for the component id. No documents give no rows. Extra columns are i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_arrow, materialise
 from .components import connected_components
@@ -246,28 +248,68 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     return map_arrow(dealt.repartition(n, "key").sortWithinPartitions("key"), _link_batches, "a bigint, b bigint")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (bigint) and component_id (the smallest doc_id reachable by links, itself included) of every row."""
-    prints = materialise(fingerprints(docs), "fingerprints")
+def _grouped(prints: DataFrame) -> DataFrame:
+    """f, root and component_id of each distinct ``fingerprint`` of ``prints`` (doc_id, fingerprint)."""
     distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected_components(links(distinct.select("fingerprint")))
     rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least"
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fingerprint", "root").join(ids, "root").select(F.col("fingerprint").alias("f"), "component_id")
+    return rooted.select("fingerprint", "root").join(ids, "root").select(F.col("fingerprint").alias("f"), "root", "component_id")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (bigint) and component_id (the smallest doc_id reachable by links, itself included) of every row."""
+    prints = materialise(fingerprints(docs), "fingerprints")
+    named = _grouped(prints)
     return prints.join(named, prints["fingerprint"] == named["f"]).select("doc_id", "fingerprint", "component_id")
 
 
+def _marked(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row as a last column ``name``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = fingerprint_texts(b.column(at).cast(pa.string()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got.view(np.int64))], [*b.schema.names, name])
+
+    return map_arrow(docs, run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: the rows with the smallest doc_id, one of them where rows are repeated.
+    """One row of each component: the one with the smallest doc_id (a null one counts last), then the smallest fingerprint, then
+    the smallest text; of wholly equal rows any.
 
-    The columns stay those of ``docs``. Rows without a doc_id stay, as no component can name them.
+    The columns stay those of ``docs``. A row is known by its doc_id only where no other row has that; rows of shared doc_ids
+    and without one are told apart by their fingerprints, so unlike texts with one doc_id are each kept or dropped on their own.
     """
-    keep = components(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi")
-    once = kept.dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    mark = f"fingerprint_{uuid.uuid4().hex}"
+    prints = materialise(fingerprints(docs), "fingerprints")
+    named = _grouped(prints)
+    rows = prints.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    best = (
+        rows.join(named, rows["fingerprint"] == named["f"])
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fingerprint")).alias("best"))
+        .select(F.col("best.doc_id").alias("__id"), F.col("best.fingerprint").alias("__print"))
+    )
+    best = materialise(best, "kept-fingerprints")
+    shared = rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where((F.col("n") > 1) | F.col("doc_id").isNull())
+    shared = materialise(shared.select(F.col("doc_id").alias("__shared")), "shared-ids")
+    own = F.col("doc_id").cast("bigint")
+    alone = best.join(shared, best["__id"].eqNullSafe(shared["__shared"]), "left_anti").select("__id")
+    kept = docs.join(alone, own == F.col("__id"), "left_semi")
+    if shared.isEmpty():
+        return kept
+    some = _marked(docs.join(shared, own.eqNullSafe(F.col("__shared")), "left_semi"), mark)
+    some = some.join(best, own.eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__print")), "left_semi")
+    # pre-aggregated, as one doc_id may be that of very many rows
+    once = some.groupBy(own.alias("__id"), mark).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("row")
+    )
+    return kept.unionByName(once.select("row.*"))
 
 
 def op2_simhash_dedup(spark, sf_dir: str) -> DataFrame:
