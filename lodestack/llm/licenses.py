@@ -1,23 +1,25 @@
 """License scan: ordered signature rules behind a keyword prefilter, with containment suppression.
 
-Only DataFrame functions are used, all within a row, so nothing is shuffled. A text becomes its words, lower-cased (A-Z only)
+Only DataFrame and SQL functions are used, all within a row, so nothing is shuffled. A text becomes its words, lower-cased (A-Z only)
 and space-joined with a space on either side; every rule is a regex over that. Texts without any keyword run no rule.
 A null text counts as empty. Extra columns pass through.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, bound, running
 
 #: What stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Hand-written signature rules by group. A group has a priority (texts of notices before named versions before bare names) and
+# Signature rules by group: notices are written out one by one, names with versions are made from the tables below. A group has a priority (texts of notices before named versions before bare names) and
 # its rules have a keyword that every match holds as a word (with * as the start of one), the label, and the regex over normalised
 # words.
 _VERSION = r"(?:v|ver|version|versions)?"
@@ -151,146 +153,134 @@ def rules() -> list[dict]:
     return out
 
 
-def _lit_rules() -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r["gate"]).alias("gate"),
-                F.lit(r["label"]).alias("label"),
-                F.lit(f" (?:{r['regex']})(?= )").alias("regex"),
-                F.lit(r["priority"]).alias("priority"),
-                F.lit(r["confidence"]).alias("confidence"),
-            )
-            for r in rules()
-        ]
-    )
-
-
 def normalised(text: Column) -> Column:
     """The words of ``text``, each with a space before it, and one space at the end; without words, one space."""
     low = ascii_lower(F.coalesce(text, F.lit("")))
-    joined = F.trim(F.regexp_replace(low, BETWEEN, " "))
-    return F.when(joined == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), joined, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), BETWEEN, " ")
+
+
+def _any_of(texts: list[str]) -> str:
+    """A regex for any of ``texts`` in which common beginnings stand once, so that most places fail at a letter or two."""
+    if "" in texts:
+        return ""
+    by_first: dict[str, list[str]] = {}
+    for t in sorted(texts):
+        by_first.setdefault(t[0], []).append(t[1:])
+    parts = [c + _any_of(rest) for c, rest in by_first.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
 def _spaces(part: Column) -> Column:
     return (F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))).cast("long")
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``license``: struct<n_words, base array<struct<start, label>>, found array<struct<start, stop, label, priority,
-    confidence>>>. Words count from 0, stops are exclusive.
+def _matched(norm: str, tests: list[dict], gated: bool = True) -> str:
+    """SQL for the matches of each rule of ``tests`` in ``norm``: array<struct<rule, found, gaps>>.
 
-    ``base`` has every place of a base phrase. ``found`` has the matches of the signature rules that are left after suppression:
-    a match goes if another one of higher priority contains it, or one of the same priority that is longer, or equal and of
-    an earlier rule. A column of that name is replaced.
+    Every pattern is a literal, so it is compiled once a task, and a rule runs only where its gate's text stands. As SQL the hundreds
+    of rules are parsed in the JVM in one go.
     """
-    norm = F.col("__norm")
-    out = docs.withColumn("__norm", normalised(F.col(f"`{text}`")))
-
-    def places(regex: Column | str) -> Column:
-        """Starts and stops, in words, of the matches of ``regex``: from the text between them and their own lengths."""
-        regex = F.lit(regex) if isinstance(regex, str) else regex
-        found = F.regexp_extract_all(norm, regex, F.lit(0))
-        gaps = F.split(norm, regex, F.lit(-1))
-        steps = F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(found)),
-            found,
-            lambda g, m: F.struct(_spaces(g).alias("gap"), _spaces(m).alias("long")),
-        )
-        return F.aggregate(
-            steps,
-            F.struct(
-                F.lit(0).cast("long").alias("at"),
-                F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("out"),
-            ),
-            lambda s, x: F.struct(
-                (s["at"] + x["gap"] + x["long"]).alias("at"),
-                F.concat(
-                    s["out"],
-                    F.array(
-                        F.struct(
-                            (s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["long"]).alias("stop")
-                        )
-                    ),
-                ).alias("out"),
-            ),
-        )["out"]
+    none = "slice(array(named_struct('rule', 0, 'found', array(''), 'gaps', array(''))), 1, 0)"
+    by_gate: dict[str, list[str]] = {}
+    for i, r in enumerate(tests):
+        regex = f"r' (?:{r['regex']})(?= )'"
+        hit = f"named_struct('rule', {i}, 'found', regexp_extract_all({norm}, {regex}, 0), 'gaps', split({norm}, {regex}, -1))"
+        by_gate.setdefault(r["gate"] if gated else " ", []).append(f"if({norm} rlike {regex}, {hit}, null)")
+    groups = [
+        f"if(contains({norm}, '{gate}'), filter(array({', '.join(hits)}), x -> x is not null), {none})"
+        for gate, hits in by_gate.items()
+    ]
+    # most texts hold no gate at all, and one pass tells
+    return f"if({norm} rlike r'{_any_of(list(by_gate))}', flatten(array({', '.join(groups)})), {none})"
 
-    def labelled(phrase: str, label: str) -> Column:
-        at = F.transform(
-            places(f" {phrase}(?= )"), lambda s: F.struct(s["start"].alias("start"), F.lit(label).alias("label"))
-        )
-        none = F.array().cast("array<struct<start:bigint,label:string>>")
-        return F.when(norm.contains(f" {phrase} "), at).otherwise(none)
-
-    base = F.flatten(F.array(*[labelled(*x) for x in BASE]))
-    gates = sorted({r["gate"] for r in rules()})
-    any_gate = " (?:" + "|".join(g[1:] for g in gates) + ")"
-    present = F.filter(F.array(*[F.lit(g) for g in gates]), lambda g: norm.contains(g))
-    live = F.filter(_lit_rules(), lambda r: F.array_contains(F.col("__present"), r["gate"]) & F.regexp_like(norm, r["regex"]))
-    hits = F.flatten(
-        F.transform(
-            F.col("__live"),
-            lambda r, i: F.transform(
-                places(r["regex"]),
-                lambda s: F.struct(
-                    s["start"].alias("start"),
-                    (-s["stop"]).alias("minus_stop"),
-                    (-r["priority"]).alias("minus_priority"),
-                    i.alias("rule"),
-                    r["label"].alias("label"),
-                    r["confidence"].alias("confidence"),
-                ),
-            ),
-        )
+
+def _places(hit: Column) -> Column:
+    """Starts and stops, in words, of a rule's matches: from the text between them and their own lengths."""
+    steps = F.zip_with(
+        F.slice(hit["gaps"], F.lit(1), F.size(hit["found"])),
+        hit["found"],
+        lambda g, m: F.struct(_spaces(g).alias("gap"), _spaces(m).alias("long")),
     )
-    # Sorted by start, and the longer first, a container stands before what it contains: it is enough to carry the furthest
-    # stop so far of each priority.
-    kept_type = "array<struct<start:bigint,stop:bigint,label:string,priority:int,confidence:double>>"
-    levels = sorted({r["priority"] for r in rules()})
+    return running(
+        steps,
+        F.lit(0).cast("long"),
+        lambda at, x: (
+            at + x["gap"] + x["long"],
+            F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["long"]).alias("stop")),
+        ),
+        "struct<start:bigint,stop:bigint>",
+    )
+
 
-    def keep(s: Column, x: Column) -> Column:
+def _unsuppressed(hits: Column, levels: list[int]) -> Column:
+    """The hits that no other one suppresses. Sorted by start, and the longer first, a container stands before what it contains: it
+    is enough to carry the furthest stop so far of each priority."""
+
+    def step(s: Column, x: Column):
         stop, priority = -x["minus_stop"], -x["minus_priority"]
         contained = F.lit(False)
         for p in levels:
             contained = contained | ((F.lit(p) >= priority) & (s[f"to{p}"] >= stop))
-        return F.struct(
-            *[
-                F.when(priority == p, F.greatest(s[f"to{p}"], stop)).otherwise(s[f"to{p}"]).alias(f"to{p}")
-                for p in levels
-            ],
-            F.when(contained, s["out"])
-            .otherwise(
-                F.concat(
-                    s["out"],
-                    F.array(
-                        F.struct(
-                            x["start"].alias("start"),
-                            stop.alias("stop"),
-                            x["label"].alias("label"),
-                            priority.alias("priority"),
-                            x["confidence"].alias("confidence"),
-                        )
-                    ),
-                )
-            )
-            .alias("out"),
+        state = F.struct(
+            *[F.when(priority == p, F.greatest(s[f"to{p}"], stop)).otherwise(s[f"to{p}"]).alias(f"to{p}") for p in levels]
         )
+        given = F.struct(
+            x["start"].alias("start"), stop.alias("stop"), x["label"].alias("label"), priority.alias("priority"),
+            x["confidence"].alias("confidence"), contained.alias("contained"),
+        )
+        return state, given
+
+    first = F.struct(*[F.lit(-1).cast("long").alias(f"to{p}") for p in levels])
+    kind = "struct<start:bigint,stop:bigint,label:string,priority:int,confidence:double,contained:boolean>"
+    kept = F.filter(running(F.array_sort(hits), first, step, kind), lambda x: ~x["contained"])
+    names = ("start", "stop", "label", "priority", "confidence")
+    return F.transform(kept, lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+
+def scan(docs: DataFrame, text: str = "text", gated: bool = True) -> DataFrame:
+    """Add ``license``: struct<n_words, base array<struct<start, label>>, found array<struct<start, stop, label, priority,
+    confidence>>>. Words count from 0, stops are exclusive.
 
-    first = F.struct(*[F.lit(-1).cast("long").alias(f"to{p}") for p in levels], F.array().cast(kept_type).alias("out"))
-    found = F.aggregate(F.array_sort(F.col("__hits")), first, keep)["out"]
-    empty_words, empty_rules = F.array().cast("array<string>"), F.slice(_lit_rules(), 1, 0)
-    return (
-        out.withColumn("__present", F.when(norm.rlike(any_gate), present).otherwise(empty_words))
-        .withColumn("__live", F.when(F.size("__present") > 0, live).otherwise(empty_rules))
-        .withColumn("__hits", hits)
-        .withColumn(
-            "license",
-            F.struct((_spaces(norm) - 1).alias("n_words"), base.alias("base"), found.alias("found")),
+    ``base`` has every place of a base phrase. ``found`` has the matches of the signature rules that are left after suppression:
+    a match goes if another one of higher priority contains it, or one of the same priority that is longer, or equal and of
+    an earlier rule. A column of that name is replaced; no other name is used. ``gated`` is for tests: without it every rule runs on every text.
+    """
+    own = rules()
+    phrases = [{"gate": f" {p} ", "label": n, "regex": p, "priority": 0, "confidence": 0.0} for p, n in BASE]
+    tests = own + phrases
+    labels = F.array(*[F.lit(r["label"]) for r in tests])
+    priorities = F.array(*[F.lit(r["priority"]) for r in tests])
+    confidences = F.array(*[F.lit(r["confidence"]) for r in tests])
+
+    def signature(hit: Column) -> Column:
+        return F.transform(
+            _places(hit),
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                (-s["stop"]).alias("minus_stop"),
+                (-F.get(priorities, hit["rule"])).alias("minus_priority"),
+                hit["rule"].alias("rule"),
+                F.get(labels, hit["rule"]).alias("label"),
+                F.get(confidences, hit["rule"]).alias("confidence"),
+            ),
         )
-        .drop("__norm", "__present", "__live", "__hits")
+
+    def phrase(hit: Column) -> Column:
+        return F.transform(_places(hit), lambda s: F.struct(s["start"].alias("start"), F.get(labels, hit["rule"]).alias("label")))
+
+    def told(x: Column) -> Column:
+        hits, n = x["hits"], len(own)
+        base = F.flatten(F.transform(F.filter(hits, lambda h: h["rule"] >= n), phrase))
+        found = F.flatten(F.transform(F.filter(hits, lambda h: h["rule"] < n), signature))
+        found = _unsuppressed(found, sorted({r["priority"] for r in own}))
+        return F.struct((_spaces(x["norm"]) - 1).alias("n_words"), base.alias("base"), found.alias("found"))
+
+    # the text is normalised once, then matched once
+    name = f"license_{uuid.uuid4().hex}"
+    matched = docs.withColumn(name, normalised(F.col(f"`{text}`"))).withColumn(
+        name, F.expr(f"transform(array(`{name}`), n -> named_struct('norm', n, 'hits', {_matched('n', tests, gated)}))[0]")
     )
+    return matched.withColumn("license", bound(F.col(name), told)).drop(name)
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import hashlib
 import math
+import random
 import re
 
 from llm_cases import ODD
+from pyspark.sql import functions as F
 
 from lodestack.llm import licenses, secrets
 
@@ -130,6 +132,90 @@ def test_license_names_written_as_one_word(docs):
     assert got == {i: [label] for i, label in enumerate(names.values())}
 
 
+def test_gates_lose_no_match(docs):
+    """Gated and ungated scans agree on a text of every rule, two rules a text so that they overlap or touch."""
+    texts = [t for r in licenses.rules() for t in texts_of(re._parser.parse(r["regex"]))[:4]]
+    df = docs([(i, f"x {a} {b}, y {b}-{a}") for i, (a, b) in enumerate(zip(texts, texts[7:] + texts[:7], strict=True))])
+    got, want = (
+        {r.doc_id: r.license.found for r in licenses.scan(df, gated=g).select("doc_id", "license").collect()} for g in (True, False)
+    )
+    assert got == want and all(want.values())
+
+
+def brute_found(text):
+    """Matches of all rules, less those that a better one contains."""
+    low = " ".join(WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text)))
+    low = f" {low} "
+    hits = []
+    for i, r in enumerate(licenses.rules()):
+        for m in re.finditer(rf" (?:{r['regex']})(?= )", low):
+            start = low[: m.start()].count(" ")
+            hits.append((start, start + m[0].count(" "), r["priority"], i, r["label"]))
+    out = []
+    for h in hits:
+        better = [o for o in hits if o[3:] != h[3:] or o[:2] != h[:2]]
+        better = [o for o in better if o[0] <= h[0] and o[1] >= h[1] and o[2] >= h[2]]
+        if not any(o[2] > h[2] or o[:2] != h[:2] or o[3] < h[3] for o in better):
+            out.append((h[0], h[1], h[4]))
+    return sorted(out)
+
+
+def test_suppression_matches_brute_force(docs):
+    texts = LICENSED + ["GNU GPL v3 or later, gnu general public license version 3 and cc by sa 4.0 / cc-by-sa", "all rights reserved license " * 40]
+    for r in licenses.scan(docs(list(enumerate(texts)))).select("text", "license").collect():
+        assert sorted((f.start, f.stop, f.label) for f in r.license.found) == brute_found(r.text), r.text
+
+
+def test_clashing_names_and_very_many_matches(docs, spark):
+    df = docs([(1, "the MIT license")]).withColumnRenamed("ids", "__norm").withColumnRenamed("score", "hits")
+    got = licenses.scan(df)
+    assert got.columns == [*df.columns, "license"] and got.first()["__norm"] == "y"
+    big = licenses.scan(docs([(1, "license " * 60_000)])).select("license.n_words", F.size("license.found")).first()
+    assert tuple(big) == (60_000, 60_000)
+
+
+def entropy_spans(text):
+    """The entropy kind, window by window."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        s = m[0]
+        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+            continue
+        if len(s) <= secrets.ALLOWED_LENGTH and re.search(secrets.ALLOWED, s):
+            continue
+        if "/" in s and all(re.search(secrets.PATH_PART, p) for p in s.split("/")):
+            continue
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "alnum" if re.fullmatch("[0-9A-Za-z]+", s) else "base64"
+        if window_entropy(s) >= secrets.LEAST_BITS[kind]:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def random_strings(seed=5, n=120):
+    r = random.Random(seed)
+    kinds = ["0123456789abcdef", "abc123", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcXYZ019+/=_-", "ab/1"]
+    return [" ".join("".join(r.choice(k) for _ in range(r.choice([5, 19, 20, 21, 40, 130]))) for k in r.choices(kinds, k=4)) for _ in range(n)]
+
+
+def test_entropy_spans_match_brute_force(docs):
+    rows = list(enumerate(random_strings())) + [(999, "a1" * 3000 + "zQ8fK2pLx7VbN4mR9tYc" + "a1" * 3000), (998, "a/" * 20_000 + "a1")]
+    for r in secrets.scan(docs(rows)).select("text", "secret_spans").collect():
+        assert [(s.start, s.stop) for s in r.secret_spans if s.kind == "entropy"] == entropy_spans(r.text), r.text[:80]
+
+
+def test_redaction_matches_brute_force(docs):
+    rows = list(enumerate(random_strings(6))) + [(997, "é" * 5000 + " token=abcdefgh1 " * 700 + "日" * 9000), (996, "token=abcdefgh1")]
+    spans = {r.doc_id: r.secret_spans for r in secrets.scan(docs(rows)).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(docs(rows)).collect()}
+    for i, text in rows:
+        out, at = "", -1
+        for s in spans[i]:
+            if s.start > at or at < 0:
+                out += text[max(at, 0) : s.start] + "[SECRET]"
+            at = max(at, s.stop)
+        assert got[i] == out + text[max(at, 0) :]
+
+
 def test_entries_run(spark, sf):
     a, b = secrets.op4_secret_scan(spark, sf).collect(), licenses.op5_license_scan(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
