@@ -1,19 +1,22 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Vectors are scaled to length one and cut into halves; each half has its own codebook, and the product grid of the two makes the
-cells. A vector lives in one cell. It looks into the nearest cells in the order of the summed half distances (the
-multi-sequence order), as many as the calibration asks for: on the fit sample every pair with cosine >= 0.95 is known by
-brute force, and the number of visits is the least one at which ``recall`` of them is found from either side. Codebooks are
-fitted on a bounded sample (``fit_rows`` vectors by hash order); every vector is indexed and searched.
+cells. The codebooks grow with the square root of the number of vectors, so that a cell keeps about ``IN_CELL`` of them and the work
+for a vector stays the same. A vector lives in one cell. It looks into the nearest cells in the order of the summed half distances (the
+multi-sequence order), as many as the calibration asks for: enough to find ``recall`` of the partners at exactly the least
+cosine, in random directions from the sample's vectors (the hardest links there are), and of the sample's own links, from either
+side, but never more than ``MOST_VISITS``. Codebooks are fitted on a bounded sample (``fit_rows`` vectors, or 16 for each code, of
+which there are at most ``MOST_CODES``, by hash order); every vector is indexed and searched.
 
 Candidates are verified by cosine in double precision. Links are counted where they are found and leave a task as counts and as a
 spanning forest, never as the pairs of a cell. A pair that both sides find is counted once for each, as a resident
 knows from its own list of visits whether it comes by itself. Cells with very many vectors are cut into tiles.
 
-Equal vectors are one entry with a multiplicity, and each copy has the others as links. Null or zero vectors, and
-those with null or non-finite components, link with nothing; so do vectors whose number of dimensions isn't the most
-common one (the larger one of a tie). A null vec_id counts as a vector but not for component ids. Repeated rows are copies. No
-rows give no rows. Extra columns are ignored.
+Vectors of different numbers of dimensions have no cosine and never link; each number has an index of its own, and those with
+at most ``tile`` distinct vectors are a single cell each, searched exactly. Equal vectors (told by 128-bit digests) are one entry
+with a multiplicity, and each copy has the others as links. Null or zero vectors, and those with null or non-finite components, link
+with nothing. A null vec_id counts as a vector but not for component ids. Repeated rows are copies. No rows give no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,10 @@ from .components import connected_components
 COSINE = 0.95
 FIT_ROWS = 12_000
 TARGET_RECALL = 0.995
-CODES = 48
+#: Vectors in a cell on average, and the fewest and most codes of a half.
+IN_CELL = 64
+LEAST_CODES, MOST_CODES = 16, 2048
+MOST_VISITS = 256
 TILE = 2048
 
 
@@ -51,47 +57,67 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def codes_for(n: int) -> int:
+    """Codes of a half for ``n`` vectors."""
+    return int(np.clip(np.ceil(np.sqrt(n / IN_CELL)), LEAST_CODES, MOST_CODES))
+
+
 def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
     """The first ``n`` cells of each unit vector in multi-sequence order, the nearest first.
 
     With both halves' codes sorted by distance, the pair of ranks (i, j) can be among the first n only if
     (i + 1)(j + 1) <= n; over those the n smallest sums are taken.
     """
-    half = x.shape[1] // 2
-    dist = [((p[:, None, :] - b[None]) ** 2).sum(2) if p.shape[0] * b.size < 1 << 22 else (p**2).sum(1)[:, None] - 2 * p @ b.T + (b**2).sum(1) for p, b in zip((x[:, :half], x[:, half:]), books, strict=True)]
-    rank = [d.argsort(1, kind="stable") for d in dist]
-    pairs = [(i, j) for i in range(len(books[0])) for j in range(len(books[1])) if (i + 1) * (j + 1) <= n]
-    i, j = np.array(pairs).T
+    half = len(books[0][0])
+    near, rank = [], []
+    for p, b in zip((x[:, :half], x[:, half:]), books, strict=True):
+        d = (p**2).sum(1)[:, None] - 2 * p @ b.T + (b**2).sum(1)
+        r = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(b) else np.broadcast_to(np.arange(len(b)), d.shape)
+        d = np.take_along_axis(d, r, 1)
+        order = np.lexsort((r, d), axis=1)
+        rank.append(np.take_along_axis(r, order, 1))
+        near.append(np.take_along_axis(d, order, 1))
+    i, j = np.array([(i, j) for i in range(min(n, len(books[0]))) for j in range(min(n // (i + 1), len(books[1])))]).T
     first, second = rank[0][:, i], rank[1][:, j]
-    total = np.take_along_axis(dist[0], first, 1) + np.take_along_axis(dist[1], second, 1)
-    best = total.argsort(1, kind="stable")[:, :n]
+    best = (near[0][:, i] + near[1][:, j]).argsort(1, kind="stable")[:, :n]
     return np.take_along_axis(first, best, 1) * len(books[1]) + np.take_along_axis(second, best, 1)
 
 
-def fit(sample: np.ndarray, codes: int = CODES, recall: float = TARGET_RECALL, least: float = COSINE):
-    """Codebooks of the halves, and the number of visits that finds ``recall`` of the sample's pairs."""
+def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs with visits a[i] and b[i]: how many visits find one of the pair from the other."""
+    at_a = np.where((hit := a == b[:, :1]).any(1), hit.argmax(1), a.shape[1])
+    at_b = np.where((hit := b == a[:, :1]).any(1), hit.argmax(1), a.shape[1])
+    return np.minimum(at_a, at_b) + 1
+
+
+def fit(sample: np.ndarray, codes: int, recall: float = TARGET_RECALL, least: float = COSINE, trials: int = 2000):
+    """Codebooks of the halves, and the number of visits that finds ``recall`` of the links."""
     half = sample.shape[1] // 2
     codes = max(1, min(codes, len(sample) // 4))
-    books = (kmeans(sample[:, :half], codes), kmeans(sample[:, half:], codes, seed=4))
-    total = len(books[0]) * len(books[1])
-    cap = min(64, total)
-    seen = visits(sample, books, cap)
-    need = np.zeros(0, np.int64)
-    for at in range(0, len(sample), 1024):
-        i, j = np.nonzero(sample[at : at + 1024] @ sample.T >= least)
-        i += at
-        i, j = i[i < j], j[i < j]
-        at_i = np.where(seen[i] == seen[j, :1], np.arange(cap), total).min(1, initial=total)
-        at_j = np.where(seen[j] == seen[i, :1], np.arange(cap), total).min(1, initial=total)
-        need = np.append(need, np.minimum(at_i, at_j) + 1)
-    if not len(need):
-        return books, min(8, total)
-    n = int(np.quantile(need, recall, method="higher"))
-    return books, min(max(2, n), total)  # beyond ``cap`` all cells are visited, which is exact
-
-
-def _search(half: int, least: float):
-    """A pass over rows (cell, lives, node, times, visits, x), sorted by cell: counts and spanning links."""
+    # calibrated on vectors that the codebooks haven't seen, where there are enough
+    own = sample[trials:] if len(sample) >= 4 * trials else sample
+    books = (kmeans(own[:, :half], codes), kmeans(own[:, half:], codes, seed=4))
+    cap = min(MOST_VISITS, len(books[0]) * len(books[1]))
+    some = sample[:trials]
+    seen = np.concatenate([visits(some[at : at + 512], books, cap) for at in range(0, len(some), 512)])
+    # partners at the least cosine, in random directions
+    away = np.random.default_rng(8).normal(size=some.shape)
+    away -= (away * some).sum(1, keepdims=True) * some
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    partners = least * some + np.sqrt(1 - least**2) * away
+    theirs = np.concatenate([visits(partners[at : at + 512], books, cap) for at in range(0, len(some), 512)])
+    n = int(np.quantile(_needed(seen, theirs), recall, method="higher"))
+    # and the links that the sample itself holds
+    i, j = np.nonzero(np.triu(some @ some.T >= least, 1))
+    if len(i):
+        i, j = i[:200_000], j[:200_000]
+        n = max(n, int(np.quantile(_needed(seen[i], seen[j]), recall, method="higher")))
+    return books, min(n, cap)
+
+
+def _search(least: float):
+    """A pass over rows (cell, lives, node, times, visits, x), sorted by cell: counts and spanning links. The vectors of a cell
+    have the same number of dimensions."""
 
     def compare(node, times, lives, looks, x, home):
         """Visitors against residents of one cell."""
@@ -99,8 +125,9 @@ def _search(half: int, least: float):
         counts = np.zeros(len(node), np.int64)
         a, b = [], []
         root = np.arange(len(node))
-        for at in range(0, len(node), 512):
-            vis = np.arange(at, min(at + 512, len(node)))
+        step = max(16, (1 << 19) // max(len(res), 1))
+        for at in range(0, len(node), step):
+            vis = np.arange(at, min(at + step, len(node)))
             close = x[vis] @ x[res].T >= least
             close &= node[vis][:, None] != node[res][None, :]
             i, j = np.nonzero(close)
@@ -134,13 +161,13 @@ def _search(half: int, least: float):
             cell = rows["cell"].to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
             cols = {c: rows[c].to_numpy() for c in ("node", "times", "lives")}
-            looks = np.stack(rows["visits"].to_numpy())
-            x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(len(cell), half * 2)
+            looks, x = rows["visits"].to_numpy(), rows["x"].to_pylist()
             out = []
             for at, to in zip(edge, [*edge[1:], len(cell)], strict=True):
                 if to - at > 1:
                     s = slice(at, to)
-                    out.append(compare(cols["node"][s], cols["times"][s], cols["lives"][s], looks[s], x[s], looks[s, 0]))
+                    own, mine = np.frombuffer(b"".join(x[s]), np.float64).reshape(to - at, -1), np.stack(looks[s])
+                    out.append(compare(cols["node"][s], cols["times"][s], cols["lives"][s], mine, own, mine[:, 0]))
             if out:
                 a, b, n = (np.concatenate([o[k] for o in out]) for k in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
@@ -165,100 +192,89 @@ def _search(half: int, least: float):
     return run
 
 
+def _placed(vectors: DataFrame, d: int | None, index) -> DataFrame:
+    """node, times, d, visits and x (the unit vector, float64) of ``vectors``; without an ``index`` all of a d are in one cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                found = part.column("embedding").to_numpy(zero_copy_only=False)
+                if index is None:
+                    x = [unit(v[None, :])[0] for v in found]
+                    looks = [[0]] * len(x)
+                else:
+                    x = unit(np.stack(found))
+                    looks = list(visits(np.pad(x, ((0, 0), (0, d % 2))), *index).astype(np.int32))
+                columns = [part.column(c) for c in ("node", "times", "d")]
+                columns += [pa.array(looks, pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "times", "d", "visits", "x"])
+
+    return map_arrow(
+        vectors.select("node", "times", "d", "embedding"), run, "node bigint, times bigint, d int, visits array<int>, x binary"
+    )
+
+
 def near_duplicates(vectors: DataFrame, least: float = COSINE, fit_rows: int = FIT_ROWS, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     sound &= ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     sound &= F.exists("embedding", lambda v: v != 0)
-    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    common = (
-        rows.where("sound").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    )
-    d = common["d"] if common else 0
-    rows = rows.withColumn("sound", F.col("sound") & (F.size("embedding") == d))
     # -0.0 and 0.0 are the same vector, as in grouping
-    key = F.transform("embedding", lambda v: v + F.lit(0.0))
+    rows = rows.withColumn("embedding", F.when(sound, F.transform("embedding", lambda v: v + F.lit(0.0))))
+    rows = rows.withColumn("key", F.when(F.col("embedding").isNotNull(), F.md5(F.to_json(F.struct("embedding")))))
+    # the entries are numbered when they are written, and joined by their digests
     distinct = materialise(
-        rows.where("sound")
-        .groupBy(key.alias("embedding"))
+        rows.where(F.col("key").isNotNull())
+        .groupBy("key", "embedding")
         .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
-        .withColumn("node", F.xxhash64(F.to_json(F.struct("embedding")))),
+        .select("*", F.size("embedding").alias("d"), F.monotonically_increasing_id().alias("node")),
         "distinct-vectors",
     )
-    plain = rows.withColumn("key", F.when(F.col("sound"), F.xxhash64(F.to_json(F.struct(key.alias("embedding"))))))
-    if not d:
-        return plain.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
-    picked = distinct.select("embedding", "node").orderBy("node").limit(fit_rows).select("embedding").toArrow()
-    sample = np.stack(picked["embedding"].to_numpy()).astype(np.float64)
-    width = d + d % 2  # an odd dimension gets a zero beside it
-    pad = lambda x: np.pad(x, ((0, 0), (0, width - d)))
-    books, n = fit(unit(pad(sample)), least=least)
-    half = width // 2
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                x = np.stack(part.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-                x = unit(pad(x))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("node"),
-                        part.column("times"),
-                        pa.array(list(visits(x, books, n).astype(np.int32)), pa.list_(pa.int32())),
-                        pa.array([v.tobytes() for v in x], pa.binary()),
-                    ],
-                    ["node", "times", "visits", "x"],
-                )
-
-    placed = materialise(
-        map_arrow(
-            distinct.select("node", "times", "embedding"), place, "node bigint, times bigint, visits array<int>, x binary"
-        ),
-        "placed-vectors",
-    )
-    homes = placed.groupBy(F.element_at("visits", 1).alias("h")).agg(F.count(F.lit(1)).alias("n"))  # a row a cell at most
-    homes = homes.select("h", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    # numbers of dimensions with more vectors than a tile: few
+    large = {r["d"]: r["n"] for r in distinct.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).collect()}
+    placed = _placed(distinct.where(~F.col("d").isin(*large) if large else F.lit(True)), None, None)
+    for d, n in sorted(large.items()):
+        own, codes = distinct.where(F.col("d") == d), codes_for(n)
+        picked = own.select("embedding", F.xxhash64("key").alias("h"), "key").orderBy("h", "key")
+        picked = picked.limit(max(fit_rows, 16 * codes)).select("embedding").toArrow()
+        sample = unit(np.stack(picked["embedding"].to_numpy()).astype(np.float64))
+        # an odd number gets a zero beside it
+        placed = placed.unionByName(_placed(own, d, fit(np.pad(sample, ((0, 0), (0, d % 2))), codes, least=least)))
+    placed = materialise(placed, "placed-vectors")
+    homes = placed.groupBy(F.col("d").alias("hd"), F.element_at("visits", 1).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    homes = homes.select("hd", "h", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     dealt = placed.select("*", F.posexplode("visits").alias("nth", "cell")).withColumn("lives", F.col("nth") == 0)
-    dealt = dealt.join(homes, dealt["cell"] == homes["h"])  # no one lives in the other cells
+    dealt = dealt.join(homes, (F.col("d") == F.col("hd")) & (F.col("cell") == F.col("h")))  # no one lives in the other cells
     # A large cell's residents are dealt to tiles, and its visitors, themselves included, come to each tile.
     mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiles = F.sequence(F.lit(0), F.col("tiles") - 1)
-    dealt = dealt.select("node", "times", "visits", "x", "cell", "lives", mine.alias("mine"), F.explode(tiles).alias("tile"))
-    dealt = dealt.select(
-        (F.col("cell").cast("long") * (1 << 20) + F.col("tile")).alias("cell"),
-        "node",
-        "times",
-        "visits",
-        "x",
-        (F.col("lives") & (F.col("mine") == F.col("tile"))).alias("lives"),
-    )
+    dealt = dealt.select("node", "times", "d", "visits", "x", "cell", "lives", mine.alias("mine"), F.explode(tiles).alias("tile"))
+    # 22 bits for a cell of MOST_CODES x MOST_CODES, 18 for its tiles, the rest for the number of dimensions
+    key = F.col("d").cast("long") * (1 << 40) + F.col("cell").cast("long") * (1 << 18) + F.col("tile")
+    lives = F.col("lives") & (F.col("mine") == F.col("tile"))
+    dealt = dealt.select(key.alias("cell"), "node", "times", "visits", "x", lives.alias("lives"))
     found = materialise(
-        map_arrow(
-            dealt.repartition(parts, "cell").sortWithinPartitions("cell"),
-            _search(half, least),
-            "a bigint, b bigint, n bigint",
-        ),
+        map_arrow(dealt.repartition("cell").sortWithinPartitions("cell"), _search(least), "a bigint, b bigint, n bigint"),
         "vector-links",
     )
     counts = found.where("n > 0").groupBy(F.col("a").alias("c_node")).agg(F.sum("n").alias("others"))
     roots = connected_components(found.where("n = 0").select("a", "b"))
     named = (
-        distinct.select("node", "least", "times")
+        distinct.select("node", "key", "least", "times")
         .join(counts, F.col("node") == F.col("c_node"), "left")
         .join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
-        .select("node", "least", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    )
+        .select(
+            F.col("key").alias("n_key"), "least", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"),
+            F.coalesce("root", "node").alias("root"),
+        )
+    )
     ids = named.groupBy(F.col("root").alias("i_root")).agg(F.min("least").alias("component"))
-    named = named.join(ids, F.col("root") == F.col("i_root")).select("node", "n_links", "component")
-    out = plain.select("vec_id", "key").join(named, F.col("key") == F.col("node"), "left")
+    named = named.join(ids, F.col("root") == F.col("i_root")).select("n_key", "n_links", "component")
+    out = rows.select("vec_id", "key").join(named, F.col("key") == F.col("n_key"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id",

@@ -244,8 +244,7 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
             "fingerprint",
         )
     )
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return map_arrow(dealt.repartition(n, "key").sortWithinPartitions("key"), _link_batches, "a bigint, b bigint")
+    return map_arrow(dealt.repartition("key").sortWithinPartitions("key"), _link_batches, "a bigint, b bigint")
 
 
 def _grouped(prints: DataFrame) -> DataFrame:

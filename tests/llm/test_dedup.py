@@ -79,6 +79,24 @@ def test_deduplicate_keeps_one_of_each(docs):
     assert simhash.components(docs([])).count() == 0 and simhash.deduplicate(docs([])).count() == 0
 
 
+def test_deduplicate_tells_rows_of_one_id_apart(docs):
+    """Brute force over rows with shared, null and repeated ids: one row of each component, the best by id and fingerprint."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    near = a.replace("a60", "a61")
+    assert (fingerprint(a) ^ fingerprint(near)).bit_count() <= 3
+    for rows in (
+        [(3, a), (5, near), (5, b)], [(5, a), (5, b)], [(5, a), (5, a), (None, b), (None, b), (None, c), (7, c), (7, None), (None, "")],
+        [(2, a), (2, near), (1, b), (1, a), (None, near)],
+    ):
+        prints = [fingerprint(t) for _, t in rows]
+        of = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+        best = {}
+        for (i, t), p, k in zip(rows, prints, of, strict=True):
+            best[k] = min(best.get(k, (2, 0, 0, "")), (i is None, i or 0, p - (p >> 63 << 64), t or ""))
+        got = simhash.deduplicate(docs(rows)).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted((x[0], x[1], x[3]) for x in best.values())
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (9, 9), (-5, 7)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
@@ -87,6 +105,20 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lodestack.llm.common import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    remote = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(remote)
+    assert shared_folder(spark)
+
+
 def vectors(seed=4, n=900, d=16):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, d))
@@ -108,21 +140,42 @@ def brute_links(rows):
 def test_embedding_links(spark):
     rows = vectors()
     rows += [(1000, None, 0, "x"), (1001, [0.0] * 16, 0, "x"), (1002, [float("nan")] * 16, 0, "x"), (1003, [1.0] * 5, 0, "x"),
-             (1004, [1.0] * 15 + [None], 0, "x"), (1005, [float("inf")] * 16, 0, "x"), (1006, [], 0, "x"), (1007, rows[500][1], 0, "x")]
+             (1004, [1.0] * 15 + [None], 0, "x"), (1005, [float("inf")] * 16, 0, "x"), (1006, [], 0, "x"), (1007, rows[500][1], 0, "x"),
+             (1010, [1.0, 2.0, 3.0], 0, "x"), (1009, [2.0, 4.0, 6.0], 0, "x"), (1011, [1.0, 2.0, 3.0], 0, "x"), (1012, [9.0, -1.0, 0.0], 0, "x")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, node string")
-    got = {r.vec_id: r for r in multiindex.near_duplicates(df).collect()}
-    assert len(got) == len(rows)
-    ids, near = brute_links(rows)
-    n_true, n_got = near.sum(), sum(r.n_links for r in got.values())
-    assert 0.9 * n_true <= n_got <= n_true
-    for i, row in zip(ids, near, strict=True):
-        assert got[i].n_links <= row.sum()
-    for i in range(1000, 1007):
-        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
-    assert got[1007].component_id == 500 and got[510].n_links == 20
+    for tile in (400, 2048):  # with an index, and as one cell
+        got = {r.vec_id: r for r in multiindex.near_duplicates(df, tile=tile).collect()}
+        assert len(got) == len(rows)
+        ids, near = brute_links(rows)
+        n_true, n_got = near.sum(), sum(got[i].n_links for i in ids)
+        assert n_got == n_true if tile == 2048 else 0.99 * n_true <= n_got <= n_true
+        for i, row in zip(ids, near, strict=True):
+            assert got[i].n_links <= row.sum()
+        for i in range(1000, 1007):
+            assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+        assert got[1007].component_id == 500 and got[510].n_links == 20
+        # vectors of other numbers of dimensions link among themselves
+        assert [got[i].n_links for i in (1009, 1010, 1011, 1012)] == [2, 2, 2, 0] and got[1011].component_id == 1009
     assert multiindex.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_visits_stay_few_as_vectors_grow():
+    """Recall of links at exactly the least cosine, and the cells looked into, from 10^4 to 10^6 vectors."""
+    rng = np.random.default_rng(5)
+    looked = {}
+    for n in (10_000, 1_000_000):
+        x = multiindex.unit(rng.normal(size=(14_000, 32)))
+        books, looked[n] = multiindex.fit(x[:12_000], multiindex.codes_for(n))
+        some = x[12_000:]
+        away = rng.normal(size=some.shape)
+        away -= (away * some).sum(1, keepdims=True) * some
+        other = 0.95 * some + np.sqrt(1 - 0.95**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+        a, b = (multiindex.visits(v, books, looked[n]) for v in (some, other))
+        found = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+        assert found.mean() >= 0.98
+    assert looked[1_000_000] <= 4 * looked[10_000] <= 4 * multiindex.MOST_VISITS
+
+
 def test_hot_cells_are_cut_into_tiles(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.02
