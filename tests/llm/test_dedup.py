@@ -81,8 +81,8 @@ def test_deduplicate_keeps_one_of_each(docs):
 
 def test_deduplicate_tells_rows_of_one_id_apart(docs):
     """Brute force over rows with shared, null and repeated ids: one row of each component, the best by id and fingerprint."""
-    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
-    near = a.replace("a60", "a61")
+    a, b, c = (" ".join(f"{x}{i}" for i in range(400)) for x in "abc")
+    near = a + " a119"
     assert (fingerprint(a) ^ fingerprint(near)).bit_count() <= 3
     for rows in (
         [(3, a), (5, near), (5, b)], [(5, a), (5, b)], [(5, a), (5, a), (None, b), (None, b), (None, c), (7, c), (7, None), (None, "")],
