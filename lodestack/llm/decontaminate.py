@@ -1,17 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of two blocks of ``STEP`` words. The vocabulary is that of the benchmark items (a stated query set; more than
-``ITEM_BLOCK`` parts of them go block by block); other words count in a passage's length only. Inverse document frequencies come from
-all blocks of all documents. Words in more than ``COMMON`` of the blocks are no features (they do count in verification), unless an item
-would keep too few. A randomised SVD of the TF-IDF blocks gives the latent space: with random directions
-R, every task forms A'AR of its blocks in one pass, as its words' co-occurrences times R, Spark adds these in slices, and the driver gets
-one matrix of the vocabulary's size, from which the single-pass (Nystrom) form of the decomposition follows. The items are rows of A as well, weighted to hold
-``ITEM_ENERGY`` times the energy of all blocks, so that an item that leaked only once has its place in the space.
+Passages are windows of two blocks of ``STEP`` words. All words are features, hashed into ``FEATURES`` buckets; words keep their own 32-bit
+code for verification. Inverse document frequencies come from all blocks of all documents. Buckets in more than ``COMMON`` of
+the blocks are no features (their words do count in verification), unless an item would keep too few. A randomised SVD of the
+TF-IDF blocks A gives a latent space of ``DIMENSIONS``, whatever the number of items: with random directions R, every task forms A'AR of its
+blocks in one pass, Spark adds these in slices, and the driver gets one matrix of fixed size, from which the single-pass (Nystrom) form
+of the decomposition follows. The items are rows of A as well, with ``ITEM_ENERGY`` times the energy of all blocks in total, so that
+what they are about has its share of the space, even if it leaked only once.
 
 Items are cut into parts of about a passage's length, and every passage is compared with every part by cosine in that space, so
-that the cosine doesn't fall with the item's length. What is at least ``COSINE`` is verified with the whole item against the words around: the longest common subsequence must hold ``LCS`` of the item's words, or ``LCS_WITH_ANSWER`` of them
+that the cosine doesn't fall with the item's length. The passage's norm is that of its projection, and ``NORM_SHARE`` of what a passage
+of its length has on average, so that a stray word is no match. What is at least ``COSINE`` is verified with the whole item against
+the words around: the longest common subsequence must hold ``LCS`` of the item's words, or ``LCS_WITH_ANSWER`` of them
 when most of the item's last words (its answer) are there, too. That catches inserted, dropped or replaced words.
 
+The documents are tokenised once and read three times, however many items there are, up to ``ITEM_BLOCK`` parts (a bound on what is
+broadcast); beyond that only the search is repeated.
+
 Null texts have no words. Items that are null or have fewer than ``LEAST_WORDS`` words are too short to tell and are ignored; without
 items nothing is found. Repeated documents are each found; repeated items count as the smallest item_id. Extra columns
 pass through. Nothing is grouped by passage or item, so a passage may stand in any share of the documents.
@@ -20,6 +25,7 @@ pass through. Nothing is grouped by passage or item, so a passage may stand in a
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,18 +39,22 @@ from .tokens import parts_of
 from .words import word_codes
 
 STEP = 24
-ITEM_BLOCK = 200
-#: Dimensions of the latent space beyond one for each part of an item.
-MORE_DIMENSIONS = 56
-ITEM_ENERGY = 8.0
+#: Parts of items that are searched at once: their words and vectors take some 40 MB.
+ITEM_BLOCK = 50_000
+#: Parts that a chunk of passages is compared with at a time.
+PARTS_AT_ONCE = 2048
+FEATURES = 1 << 14
+DIMENSIONS = 96
+ITEM_ENERGY = 1.0
 COSINE = 0.25
+NORM_SHARE = 0.5
 LCS = 0.7
 LCS_WITH_ANSWER = 0.55
 ANSWER_WORDS = 8
 LEAST_WORDS = 8
 #: Inverse document frequencies are held between these, so that a passage found in many documents keeps its weight.
 LEAST_IDF, MOST_IDF = 1.0, 3.0
-#: Share of blocks beyond which a word is no feature, and the share of its words that an item keeps at least.
+#: Share of blocks beyond which a bucket is no feature, and the share of its words that an item keeps at least.
 COMMON, KEPT = 0.01, 0.3
 
 
@@ -52,6 +62,10 @@ def words_of(text: str | None) -> list[str]:
     return re.sub(r"[^\w\s]|_", " ", (text or "").lower()).split()
 
 
+def codes_of(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint32, len(words))
+
+
 def n_parts(n_words: int) -> int:
     """In how many parts an item is searched: each about as long as a passage, and none above one and a half."""
     return max(1, round(n_words / (2 * STEP)))
@@ -59,65 +73,53 @@ def n_parts(n_words: int) -> int:
 
 @dataclass
 class Items:
-    """A block of benchmark items: ids, words as codes of their common vocabulary."""
-
-    ids: list[int]
-    words: list[list[str]]
-    vocabulary: dict[str, int] = field(init=False)
+    """Benchmark items: ids, and their words as codes."""
 
-    def __post_init__(self) -> None:
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
-
-    def codes(self) -> list[np.ndarray]:
-        return [np.array([self.vocabulary[w] for w in ws], np.int32) for ws in self.words]
+    ids: list[int] = field(default_factory=list)
+    codes: list[np.ndarray] = field(default_factory=list)
 
     def parts(self) -> tuple[list[np.ndarray], np.ndarray]:
         """The items cut for the search: the codes of each part, and its item's position."""
-        cut = [np.array_split(c, n_parts(len(c))) for c in self.codes()]
+        cut = [np.array_split(c, n_parts(len(c))) for c in self.codes]
         return [part for parts in cut for part in parts], np.repeat(np.arange(len(cut)), [len(parts) for parts in cut])
 
-    def coder(self):
-        known = self.vocabulary
-        return lambda words: np.fromiter((known.get(w, -1) for w in words), np.int32, len(words))
-
 
 def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[Items]:
     """The benchmark, read once as a stream of rows, in blocks of up to ``size`` parts of items; an item of more has one of its own."""
-    seen: set[tuple[str, ...]] = set()
-    ids, words, parts = [], [], 0
+    seen: set[bytes] = set()
+    block, parts = Items(), 0
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     for item_id, text in rows.orderBy("item_id", "text").toLocalIterator():
-        ws = words_of(text)
-        if len(ws) < LEAST_WORDS or tuple(ws) in seen:
+        codes = codes_of(words_of(text))
+        if len(codes) < LEAST_WORDS or codes.tobytes() in seen:
             continue
-        if ids and parts + n_parts(len(ws)) > size:
-            yield Items(ids, words)
-            seen, ids, words, parts = set(), [], [], 0
-        seen.add(tuple(ws))
-        ids.append(item_id)
-        words.append(ws)
-        parts += n_parts(len(ws))
-    if ids:
-        yield Items(ids, words)
+        if block.ids and parts + n_parts(len(codes)) > size:
+            yield block
+            block, parts = Items(), 0
+        seen.add(codes.tobytes())
+        block.ids.append(item_id)
+        block.codes.append(codes)
+        parts += n_parts(len(codes))
+    if block.ids:
+        yield block
 
 
-def coded(docs: DataFrame, items: Items) -> DataFrame:
-    """doc_id and codes (binary, int32; -1: not in the vocabulary) of every row."""
-    known = docs.sparkSession.sparkContext.broadcast(items)  # at most ITEM_BLOCK parts, or one item
+def coded(docs: DataFrame) -> DataFrame:
+    """doc_id and codes (binary, uint32) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in parts_of(batch):
-                codes, counts = word_codes(b.column("text"), known.value.coder(), bare=True)
+                codes, counts = word_codes(b.column("text"), codes_of, bare=True)
                 ends = np.cumsum(counts)
-                rows = [codes[i:j].astype(np.int16 if len(known.value.vocabulary) < 32768 else np.int32).tobytes() for i, j in zip(ends - counts, ends, strict=True)]
+                rows = [codes[i:j].tobytes() for i, j in zip(ends - counts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "codes"])
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(picked, run, "doc_id bigint, codes binary")
 
 
-def _chunks(codes: np.ndarray, counts: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray]]:
+def _chunks(codes: np.ndarray, counts: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray]]:
     """Ranges of documents with about ``most`` words, and their codes."""
     ends = np.cumsum(counts)
     group = ends // most
@@ -139,100 +141,102 @@ def _blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of, doc, last
 
 
-def _read(batches: Iterator[pa.RecordBatch], small: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    kind = np.int16 if small else np.int32
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for b in batches:
         rows = b.column("codes").to_pylist()
-        counts = np.array([len(x) // np.dtype(kind).itemsize for x in rows], np.int64)
-        for i, j, part in _chunks(np.frombuffer(b"".join(rows), kind), counts):
-            yield part.astype(np.int32), counts[i:j]
+        counts = np.array([len(x) // 4 for x in rows], np.int64)
+        for i, j, part in _chunks(np.frombuffer(b"".join(rows), np.uint32), counts):
+            yield part, counts[i:j]
+
 
+def buckets(codes: np.ndarray) -> np.ndarray:
+    return (codes & np.uint32(FEATURES - 1)).astype(np.int64)
 
-def frequencies(codes: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
-    """In how many blocks each word of the vocabulary stands, and the number of blocks."""
+
+def frequencies(codes: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many blocks each bucket stands, and the number of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_words + 1, np.int64)
-        for got, counts in _read(batches, n_words < 32768):
+        total = np.zeros(FEATURES + 1, np.int64)
+        for got, counts in _read(batches):
             of, doc, _ = _blocks(counts)
-            in_it = got >= 0
-            both = np.unique(of[in_it] * n_words + got[in_it])
-            total[:n_words] += np.bincount(both % n_words, minlength=n_words)
-            total[n_words] += len(doc)
+            total[:FEATURES] += np.bincount(np.unique(of * FEATURES + buckets(got)) % FEATURES, minlength=FEATURES)
+            total[FEATURES] += len(doc)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["word", "n"])
 
     rows = map_arrow(codes, run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n_words + 1, np.int64)
+    out = np.zeros(FEATURES + 1, np.int64)
     out[rows["word"].to_numpy()] = rows["n"].to_numpy()
-    return out[:n_words], int(out[n_words])
+    return out[:FEATURES], int(out[FEATURES])
 
 
-def weights(df: np.ndarray, n_blocks: int, items: Items) -> np.ndarray:
-    """The weight of each word of the vocabulary: its held inverse document frequency; 0 where it is no feature."""
+def weights(df: np.ndarray, n_blocks: int, parts: list[np.ndarray]) -> np.ndarray:
+    """The weight of each bucket: its held inverse document frequency; 0 where it is no feature."""
     idf = np.clip(np.log((n_blocks + 1) / (df + 1)) / 2, LEAST_IDF, MOST_IDF)
     use = df <= COMMON * n_blocks
-    for own in items.parts()[0]:
+    for part in parts:
         # a part whose passage stands in very many documents has no rare words; then its less frequent ones serve
+        own = buckets(part)
         for most in (0.1, 1.0):
             if use[own].sum() >= max(5, KEPT * len(own)):
                 break
             use[own] |= df[own] <= most * n_blocks
-    return np.where(use, idf, 0.0)
-
-
-def _together(got: np.ndarray, of: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
-    """Add to ``total`` (words by words, flat) the weighted co-occurrences within blocks: the sum of x x' over the blocks."""
-    n = len(weight)
-    keep = (got >= 0) & (weight[got] > 0)
-    word, block = got[keep].astype(np.int64), of[keep]
-    w = weight[word]
-    np.add.at(total, word * (n + 1), w * w)
-    for d in range(1, len(word)):
-        same = np.flatnonzero(block[d:] == block[:-d])
-        if not len(same):
-            break
-        a, b, x = word[same], word[same + d], w[same] * w[same + d]
-        np.add.at(total, a * n + b, x)
-        np.add.at(total, b * n + a, x)
-
-
-def latent_space(codes: DataFrame, idf: np.ndarray, items: Items, seed: int = 9) -> np.ndarray:
-    """Orthonormal columns: the right singular vectors of the weighted blocks and items."""
-    n = len(idf)
-    parts = items.parts()[0]
-    k = min(n, len(parts) + MORE_DIMENSIONS)
-    directions = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, k)))[0].astype(np.float32)
-    model = codes.sparkSession.sparkContext.broadcast((idf.astype(np.float32), directions))
+    return np.where(use, idf, 0.0).astype(np.float32)
+
+
+def _sums(rows: np.ndarray, bucket: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of ``rows[bucket]`` of each block that has words (``block`` ascends): blocks and sums."""
+    at = np.flatnonzero(np.diff(block, prepend=-1))
+    return block[at], np.add.reduceat(rows[bucket], at, axis=0) if len(at) else np.zeros((0, rows.shape[1]), rows.dtype)
+
+
+def _add_gram(total: np.ndarray, bucket: np.ndarray, block: np.ndarray, weighted: np.ndarray) -> None:
+    """Add A'AR of the blocks to ``total``, but for the weights on its left; ``weighted`` are the weighted directions."""
+    if not len(bucket):
+        return
+    _, sums = _sums(weighted, bucket, block)
+    nth = np.cumsum(np.diff(block, prepend=block[0]) > 0)
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    found = bucket[order]
+    at = np.flatnonzero(np.diff(found, prepend=-1))
+    total[found[at]] += np.add.reduceat(sums[nth[order]], at, axis=0)
+
+
+def latent_space(codes: DataFrame, idf: np.ndarray, parts: list[np.ndarray], k: int = DIMENSIONS, seed: int = 9) -> tuple[np.ndarray, float]:
+    """Orthonormal columns, the right singular vectors of the weighted blocks and items; and the share of the energy in them."""
+    directions = np.linalg.qr(np.random.default_rng(seed).normal(size=(FEATURES, k)))[0].astype(np.float32)
+    weighted = directions * idf[:, None]
+    model = codes.sparkSession.sparkContext.broadcast((idf, weighted))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, directions = model.value
-        used = np.flatnonzero(idf)
-        place = np.full(n + 1, -1, np.int32)  # its last entry is that of words outside the vocabulary
-        place[used] = np.arange(len(used))
-        total = np.zeros(len(used) ** 2, np.float32)
-        for got, counts in _read(batches, n < 32768):
-            _together(place[got], _blocks(counts)[0], idf[used], total)
-        total = total.reshape(len(used), len(used))
-        if energy := float(np.trace(total)):
-            out = np.zeros((n, k), np.float32)
-            out[used] = total @ directions[used]
-            yield sliced(out.ravel(), energy)
-
-    got = summed(map_arrow(codes, run, SLICED), n * k)
-    y, energy = (got[0].reshape(n, k), got[1]) if got else (np.zeros((n, k)), 0.0)
-    b = np.zeros((len(parts), n))
-    for row, own in zip(b, parts, strict=True):
-        np.add.at(row, own, idf[own])
-    y = y + (b.T @ (b @ directions)) * (ITEM_ENERGY * max(energy, 1.0) / (b**2).sum())
+        idf, weighted = model.value
+        total, energy = np.zeros((FEATURES, k), np.float32), 0.0
+        for got, counts in _read(batches):
+            bucket = buckets(got)
+            keep = idf[bucket] > 0
+            bucket = bucket[keep]
+            energy += float((idf[bucket] ** 2).sum())
+            _add_gram(total, bucket, _blocks(counts)[0][keep], weighted)
+        if energy:
+            yield sliced((total * idf[:, None]).ravel(), energy)
+
+    got = summed(map_arrow(codes, run, SLICED), FEATURES * k)
+    y, energy = (got[0].reshape(FEATURES, k).astype(np.float64), got[1]) if got else (np.zeros((FEATURES, k)), 0.0)
+    bucket, block = buckets(np.concatenate(parts)), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    keep = idf[bucket] > 0
+    own = np.zeros((FEATURES, k))
+    _add_gram(own, bucket[keep], block[keep], weighted)
+    mine = float((idf[bucket] ** 2).sum())
+    whole = ITEM_ENERGY * max(energy, 1.0)
+    y = y + own * idf[:, None] * (whole / max(mine, 1e-9))
     # C is about Y (R'Y)^-1 Y', with R's columns orthonormal
-    shift = 1e-7 * np.linalg.norm(y)
-    y = y + shift * directions
+    y = y + 1e-7 * np.linalg.norm(y) * directions
     inner = directions.T.astype(np.float64) @ y
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     keep = values > values.max() * 1e-9
-    root = y @ (vectors[:, keep] / np.sqrt(values[keep]))
-    return np.linalg.svd(root, full_matrices=False)[0]
+    space, sizes, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+    return space.astype(np.float32), min(1.0, float((sizes**2).sum()) / (whole + energy))
 
 
 def lcs(masks: dict[int, int], n: int, words) -> int:
@@ -257,102 +261,114 @@ def _masks(codes) -> dict[int, int]:
 
 @dataclass
 class Model:
-    """What a task needs to search texts for one block of items."""
+    """What a task needs to search texts for a block of items."""
 
     items: Items
     idf: np.ndarray
     space: np.ndarray
+    share: float
 
     def __post_init__(self) -> None:
-        own = self.items.codes()
         parts, self.item_of = self.items.parts()
-        x = np.zeros((len(parts), len(self.idf)))
-        for row, c in zip(x, parts, strict=True):
-            np.add.at(row, c, self.idf[c])
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        # the dot product with a part in the latent space, word by word
-        self.by_word = (self.idf[:, None] * (self.space @ (self.space.T @ (x / norm).T))).astype(np.float32)
-        self.own = [c.tolist() for c in own]
-        self.masks = [_masks(c) for c in self.own]
-        self.answers = [_masks(c[-ANSWER_WORDS:]) for c in self.own]
+        self.rows = self.space * self.idf[:, None]  # a word's vector in the latent space
+        bucket, block = buckets(np.concatenate(parts)), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        at, sums = _sums(self.rows, bucket, block)
+        self.vectors = np.zeros((len(parts), self.rows.shape[1]), np.float32)
+        self.vectors[at] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        self.masks: dict[int, dict[int, int]] = {}
+
+    def masks_of(self, item: int) -> dict[int, int]:
+        if item not in self.masks:
+            if len(self.masks) > 4096:
+                self.masks.clear()
+            self.masks[item] = _masks(self.items.codes[item].tolist())
+        return self.masks[item]
+
+    def near(self, got: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passages, parts, cosines) of what is to be verified; a passage is known by its first block."""
+        of, doc, last = _blocks(counts)
+        n, bucket = len(doc), buckets(got)
+        weight = self.idf[bucket]
+        z = np.zeros((n, self.rows.shape[1]), np.float32)
+        at, sums = _sums(self.rows, bucket[weight > 0], of[weight > 0])
+        z[at] = sums
+        # counts above one in a block are rare: the sum of squares takes them as separate words
+        square = np.bincount(of, np.where(weight > 0, weight, LEAST_IDF) ** 2, n)
+        follows = np.flatnonzero(~last)
+        if len(follows):
+            z[follows] += z[follows + 1].copy()
+            square[follows] += square[follows + 1].copy()
+        z /= np.sqrt((z**2).sum(1) + NORM_SHARE * self.share * square + 1e-9)[:, None].astype(np.float32)
+        for k in range(0, len(self.vectors), PARTS_AT_ONCE):
+            dots = z @ self.vectors[k : k + PARTS_AT_ONCE].T
+            p, part = np.nonzero(dots >= COSINE)
+            yield p, part + k, dots[p, part]
 
     def search(self, codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float, int, bool]]:
         """(document, item, cosine, common words, answer found) of what is verified, documents by their position."""
-        n_parts = len(self.item_of)
-        for i, j, got in _chunks(codes, counts, 1 << 17):
+        for i, j, got in _chunks(codes, counts):
             per_doc = counts[i:j]
-            of, doc, last = _blocks(per_doc)
-            n = len(doc)
-            in_it = (got >= 0) & (self.idf[got] > 0)
-            word, block = got[in_it], of[in_it]
-            dots = np.zeros((n, n_parts), np.float32)
-            if len(word):
-                at = np.flatnonzero(np.diff(block, prepend=-1))
-                dots[block[at]] = np.add.reduceat(self.by_word[word], at, axis=0)
-            # counts above one in a block are rare: the sum of squares takes them as separate words
-            square = np.bincount(block, self.idf[word] ** 2, n) + np.bincount(of[~in_it], minlength=n) * LEAST_IDF**2
-            follows = np.flatnonzero(~last)
-            dots[follows] += dots[follows + 1].copy() if len(follows) else 0
-            square[follows] += square[follows + 1].copy() if len(follows) else 0
-            near = dots >= COSINE * np.sqrt(np.maximum(square, 1e-9))[:, None].astype(np.float32)
+            _, doc, _ = _blocks(per_doc)
             starts = np.cumsum(per_doc) - per_doc
             first_block = np.searchsorted(doc, np.arange(len(per_doc)))
             done: set[tuple[int, int]] = set()
-            for p, part in zip(*(a.tolist() for a in np.nonzero(near)), strict=True):
+            for p, part, cosine in (x for near in self.near(got, per_doc) for x in zip(*(a.tolist() for a in near), strict=True)):
                 d, item = int(doc[p]), int(self.item_of[part])
                 if (d, item) in done:
                     continue
-                own, place = self.own[item], (p - int(first_block[d])) * STEP
-                reach = len(own)
-                a = int(starts[d]) + max(0, place - reach)
-                b = int(starts[d]) + min(int(per_doc[d]), place + 3 * STEP + reach)
-                around = got[a:b].tolist()
-                common = lcs(self.masks[item], len(own), around)
-                if common < LCS_WITH_ANSWER * len(own):
+                own, place = self.items.codes[item], (p - int(first_block[d])) * STEP
+                size, masks = len(own), self.masks_of(item)
+                a = int(starts[d]) + max(0, place - size)
+                b = int(starts[d]) + min(int(per_doc[d]), place + 3 * STEP + size)
+                if lcs(masks, size, got[a:b].tolist()) < LCS_WITH_ANSWER * size:
                     continue
+                # the passage may have been near by chance and the item beside it
+                around = got[max(int(starts[d]), a - size) : min(int(starts[d] + per_doc[d]), b + size)].tolist()
                 # a long region has common words by chance: only a stretch not much longer than the item counts
-                width = len(own) + len(own) // 4 + 2
-                common = max(
-                    lcs(self.masks[item], len(own), around[k : k + width])
-                    for k in range(0, max(1, len(around) - width + 1), 2)
-                )
-                tail = min(ANSWER_WORDS, len(own))
-                answer = lcs(self.answers[item], tail, around) >= 0.75 * tail
-                if common >= LCS * len(own) or (answer and common >= LCS_WITH_ANSWER * len(own)):
+                width, step = size + size // 4 + 2, max(2, size // 16)
+                stretch = lambda k: lcs(masks, size, around[k : k + width])
+                best = max(range(0, max(1, len(around) - width + step), step), key=stretch)
+                common = max(stretch(k) for k in range(max(0, best - step + 1), best + step))
+                tail = min(ANSWER_WORDS, size)
+                answer = lcs(_masks(own[-tail:].tolist()), tail, around) >= 0.75 * tail
+                if common >= LCS * size or (answer and common >= LCS_WITH_ANSWER * size):
                     done.add((d, item))
-                    yield i + d, item, float(dots[p, part] / np.sqrt(square[p])), common, answer
+                    yield i + d, item, float(cosine), common, answer
 
 
-def models(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Model, DataFrame]]:
-    """A fitted model for each block of items, and the documents' codes for it."""
-    for items in item_blocks(benchmark):
-        codes = materialise(coded(docs, items), "passage-words")
-        df, n = frequencies(codes, len(items.vocabulary))
-        idf = weights(df, n, items)
-        yield Model(items, idf, latent_space(codes, idf, items)), codes
+def models(docs: DataFrame, benchmark: DataFrame) -> tuple[list[Model], DataFrame | None]:
+    """A fitted model for each block of items, all with one space, and the documents' codes."""
+    blocks = list(item_blocks(benchmark))  # the query set; what is broadcast of it is one block
+    if not blocks:
+        return [], None
+    codes = materialise(coded(docs), "passage-words")
+    parts = [p for b in blocks for p in b.parts()[0]]
+    idf = weights(*frequencies(codes), parts)
+    space, share = latent_space(codes, idf, parts)
+    return [Model(b, idf, space, share) for b in blocks], codes
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, common_words, item_words and answer_found of every document and item found in it."""
     schema = "doc_id bigint, item_id bigint, cosine double, common_words int, item_words int, answer_found boolean"
     out = docs.sparkSession.createDataFrame([], schema)
-    for model, codes in models(docs, benchmark):
+    fitted, codes = models(docs, benchmark)
+    for model in fitted:
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            kind = np.int16 if len(m.idf) < 32768 else np.int32
             for b in batches:
                 rows = b.column("codes").to_pylist()
-                counts = np.array([len(x) // np.dtype(kind).itemsize for x in rows], np.int64)
+                counts = np.array([len(x) // 4 for x in rows], np.int64)
                 doc_ids = b.column("doc_id").to_pylist()
-                got = list(m.search(np.frombuffer(b"".join(rows), kind).astype(np.int32), counts))
+                got = list(m.search(np.frombuffer(b"".join(rows), np.uint32), counts))
                 columns = [
                     pa.array([doc_ids[g[0]] for g in got], pa.int64()),
                     pa.array([m.items.ids[g[1]] for g in got], pa.int64()),
                     pa.array([g[2] for g in got], pa.float64()),
                     pa.array([g[3] for g in got], pa.int32()),
-                    pa.array([len(m.own[g[1]]) for g in got], pa.int32()),
+                    pa.array([len(m.items.codes[g[1]]) for g in got], pa.int32()),
                     pa.array([g[4] for g in got], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
@@ -364,14 +380,13 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found; columns as they are. Nothing is joined or shuffled."""
     at = docs.columns.index("text")
-    for model, _ in models(docs, benchmark):
+    for model in models(docs, benchmark)[0]:
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            coder = shared.value.items.coder()
             for batch in batches:
                 for b in parts_of(batch, column=at):
-                    codes, counts = word_codes(b.column(at), coder, bare=True)
+                    codes, counts = word_codes(b.column(at), codes_of, bare=True)
                     clean = np.ones(b.num_rows, bool)
                     clean[[g[0] for g in shared.value.search(codes, counts)]] = False
                     yield b.filter(pa.array(clean))

@@ -188,7 +188,7 @@ def test_blocks_hold_parts_of_long_items(spark):
     assert [b.ids for b in blocks] == [[0, 1, 2], [3], [4]]
     parts, of = blocks[0].parts()
     assert np.bincount(of).tolist() == [1, 10, 1]
-    assert np.concatenate(parts).tolist() == np.concatenate(blocks[0].codes()).tolist()
+    assert np.concatenate(parts).tolist() == np.concatenate(blocks[0].codes).tolist()
 
 
 def test_items_go_in_blocks(spark):
@@ -196,6 +196,50 @@ def test_items_go_in_blocks(spark):
     bench = spark.createDataFrame(items + items[:4], "item_id bigint, text string")
     blocks = list(decontaminate.item_blocks(bench, 25))
     assert [len(b.ids) for b in blocks] == [25, 25, 10]
+    # an item that comes again in a later block is the same item
+    again = spark.createDataFrame(items + [(i + 500, t) for i, t in items[:4]], "item_id bigint, text string")
+    assert [i for b in decontaminate.item_blocks(again, 25) for i in b.ids] == [i for i, _ in items]
+
+
+def test_blocks_of_items_find_the_same(spark, docs, monkeypatch):
+    items, rows, planted = leaks(13)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (20,))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs(rows), bench).collect()}
+    assert got == planted
+
+
+def test_latent_space_retrieves_paraphrases_that_words_miss(spark, docs, monkeypatch):
+    """Topics whose words have synonyms that stand in the same company: a paraphrase that shares few words with its item is found
+    in the latent space, and isn't by the words alone."""
+    r = random.Random(21)
+    topics = [[(a, b) for a, b in zip(words(r, 24), words(r, 24), strict=True)] for _ in range(40)]
+    other = words(r, 2000)
+    texts = []
+    for d in range(1200):
+        own = [r.choice(pair) for pair in r.choices(topics[d % 40], k=40)]
+        texts.append((d, " ".join(w if r.random() < 0.7 else r.choice(other) for w in own)))
+    items = [(i, " ".join(a for a, _ in topic)) for i, topic in enumerate(topics)]
+    # 18 of 24 words are replaced
+    said = [" ".join(b if k % 4 else a for k, (a, b) in enumerate(topic)) for topic in topics]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    # topics are frequent here, as there are only 40 of them
+    monkeypatch.setattr(decontaminate, "COMMON", 0.2)
+    monkeypatch.setattr(decontaminate, "ITEM_ENERGY", 0.1)
+    (model,), _ = decontaminate.models(docs(texts), bench)
+    plain = decontaminate.Model(model.items, model.idf, np.eye(decontaminate.FEATURES, dtype=np.float32), 1.0)
+
+    def cosines(m):
+        out = []
+        for i, text in enumerate(said):
+            codes = decontaminate.codes_of(text.split())
+            hits = [c for p, part, cos in m.near(codes, np.array([len(codes)])) for q, c in zip(part, cos, strict=True) if q == i]
+            out.append(max(hits, default=0.0))
+        return np.array(out)
+
+    monkeypatch.setattr(decontaminate, "COSINE", 0.5)
+    latent, by_words = cosines(model), cosines(plain)
+    assert (latent >= 0.5).mean() >= 0.9 and (by_words >= 0.5).mean() <= 0.1
 
 
 def test_decontamination_odd_rows(spark, docs, odd):
@@ -226,6 +270,72 @@ def test_leak_entry(spark):
     assert planted <= got and len(got - planted) <= 2
 
 
+def test_pipeline_matches_brute_force(spark, sf):
+    """The whole pipeline against its decisions made one by one in plain Python."""
+    import corpus_pipeline
+    from test_dedup import classes, fingerprint
+
+    from lodestack.llm import packing, secrets, tokens
+
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame(
+        [(-1, None, "en", "s", None), (-2, "", "en", "s", 0), (10**6, "x " * 30_000, "en", "s", 60_000), (None, "y y", None, None, 3)],
+        source.schema,
+    )
+    rows = [tuple(r) for r in source.unionByName(odd).collect()]
+    machine = quality.fit(source.unionByName(odd), spark.read.parquet(f"{sf}/labels.parquet"))
+    good = machine.scores([quality.features(r[1]) for r in rows]) >= quality.THRESHOLD
+    rows = [r for r, g in zip(rows, good, strict=True) if g]
+    prints = [fingerprint(r[1]) for r in rows]
+    of = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    best = {}
+    for i, (r, p, k) in enumerate(zip(rows, prints, of, strict=True)):
+        best[k] = min(best.get(k, (2,)), (r[0] is None, r[0] or 0, p - (p >> 63 << 64), r[1] or "", i))
+    rows = [rows[b[-1]] for b in best.values()]
+    bench = [decontaminate.words_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def leaked(text):
+        joined = f" {' '.join(decontaminate.words_of(text))} "
+        return any(f" {' '.join(b)} " in joined for b in bench)
+
+    rows = [r for r in rows if not leaked(r[1])]
+    spans = {r.doc_id: r.secret_spans for r in secrets.scan(spark.createDataFrame(rows, source.schema)).collect()}
+    want = {}
+    for doc_id, text, *_ in rows:
+        out, at = "", -1
+        for s in spans[doc_id]:
+            if s.start > at or at < 0:
+                out += text[max(at, 0) : s.start] + "[SECRET]"
+            at = max(at, s.stop)
+        ids = np.array([*tokens._tokenizer(tokens.vocabulary()).encode(out + (text or "")[max(at, 0) :], add_special_tokens=False).ids, 0])
+        want[doc_id] = [(a, n, tokens.crc32(ids[a : a + n])) for a, n in packing.cut(len(ids), packing.CAPACITY)]
+    docs = source.unionByName(odd)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf).cache()
+    got, full = {}, {}
+    for r in docs.orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+        full.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    # near passages are the decontamination's own; verbatim ones must go
+    assert got.keys() <= want.keys() and len(want) - len(got) <= 2
+    assert all(got[k] == want[k] for k in got)
+    for places in full.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+
+
+def test_pipeline_takes_empty_tables(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     import corpus_pipeline
 
