@@ -39,6 +39,8 @@ OFFSETS = (-2, -1, 1, 2)
 WIDTH = 24
 ROUNDS = 2
 RATE = 0.1
+#: Targets of a step at most.
+LARGEST_STEP = 4096
 
 
 def shapes() -> list[tuple[str, tuple[int, ...]]]:
@@ -91,20 +93,28 @@ def _hidden(p: dict, around: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
+def _by_class(words: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Targets in order of their class, where each class begins, and their ids within it."""
+    of = (words // PER_CLASS).astype(np.uint8)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(CLASSES + 1)).tolist(), (words % PER_CLASS)[order]
+
+
 def log_probabilities(p: dict, around: np.ndarray, words: np.ndarray) -> np.ndarray:
     """log P(word | both sides) of each target."""
     h = _hidden(p, around)
     of = words // PER_CLASS
     z = h @ p["c"].T + p["cb"]
     got = z[np.arange(len(words)), of] - np.log(np.exp(z).sum(1))
-    order = np.argsort(of.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
+    order, edges, place = _by_class(words)
+    h, inner = h[order], np.empty(len(words), np.float32)
     for c in range(CLASSES):
-        rows = order[edges[c] : edges[c + 1]]
-        if len(rows):
+        i, j = edges[c], edges[c + 1]
+        if i < j:
             own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            z = h[rows] @ p["w"][own].T + p["wb"][own]
-            got[rows] += z[np.arange(len(rows)), words[rows] - c * PER_CLASS] - np.log(np.exp(z).sum(1))
+            z = h[i:j] @ p["w"][own].T + p["wb"][own]
+            inner[i:j] = z[np.arange(j - i), place[i:j]] - np.log(np.exp(z).sum(1))
+    got[order] += inner
     return got
 
 
@@ -125,20 +135,20 @@ def _step(p: dict, g: dict, around: np.ndarray, words: np.ndarray) -> None:
 
     put("c", slice(None), dz.T @ h)
     put("cb", slice(None), dz.sum(0))
-    order = np.argsort(of.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
+    order, edges, place = _by_class(words)
+    by_class, back = h[order], np.empty_like(h)
     for c in range(CLASSES):
-        rows = order[edges[c] : edges[c + 1]]
-        if not len(rows):
+        i, j = edges[c], edges[c + 1]
+        if i == j:
             continue
         own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-        z = np.exp(h[rows] @ p["w"][own].T + p["wb"][own])
-        dz = z / z.sum(1, keepdims=True)
-        dz[np.arange(len(rows)), words[rows] - c * PER_CLASS] -= 1
-        dz /= n
-        dh[rows] += dz @ p["w"][own]
-        put("w", own, dz.T @ h[rows])
+        dz = np.exp(by_class[i:j] @ p["w"][own].T + p["wb"][own])
+        dz *= 1 / (n * dz.sum(1, keepdims=True))
+        dz[np.arange(j - i), place[i:j]] -= 1 / n
+        np.matmul(dz, p["w"][own], out=back[i:j])
+        put("w", own, dz.T @ by_class[i:j])
         put("wb", own, dz.sum(0))
+    dh[order] += back
     dh *= 1 - h * h
     put("b", slice(None), dh.sum(0))
     for k in range(len(OFFSETS)):
@@ -235,7 +245,7 @@ def train(bins: DataFrame, ids_of: np.ndarray, flat: np.ndarray, nth: int) -> np
             targets = np.random.default_rng(len(targets)).permutation(targets)
             around = contexts(ids, doc, targets)
             # small shares take smaller steps, so that they make enough of them
-            size = int(np.clip(len(targets) // 64, 32, 4096))
+            size = int(np.clip(len(targets) // 64, 32, LARGEST_STEP))
             for at in range(0, len(targets), size):
                 _step(p, g, around[:, at : at + size], ids[targets[at : at + size]])
             seen += len(targets)
