@@ -44,9 +44,9 @@ ITEM_BLOCK = 50_000
 #: Parts that a chunk of passages is compared with at a time.
 PARTS_AT_ONCE = 2048
 FEATURES = 1 << 14
-DIMENSIONS = 96
+DIMENSIONS = 64
 ITEM_ENERGY = 1.0
-COSINE = 0.25
+COSINE = 0.28
 NORM_SHARE = 0.5
 LCS = 0.7
 LCS_WITH_ANSWER = 0.55
@@ -119,7 +119,7 @@ def coded(docs: DataFrame) -> DataFrame:
     return map_arrow(picked, run, "doc_id bigint, codes binary")
 
 
-def _chunks(codes: np.ndarray, counts: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray]]:
+def _chunks(codes: np.ndarray, counts: np.ndarray, most: int = 1 << 13) -> Iterator[tuple[int, int, np.ndarray]]:
     """Ranges of documents with about ``most`` words, and their codes."""
     ends = np.cumsum(counts)
     group = ends // most
