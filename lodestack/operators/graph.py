@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reachable(links: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def reachable(links: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes with their least depth from any root. One join a level, and what was seen before is taken out, so cycles end.
 
-    ``links``: source, target; ``roots``: node. The driver sees only whether a level is empty.
+    ``links``: source, target; ``roots``: node. The driver sees only whether a level is empty. The walk goes on until one is; with
+    ``max_depth`` it raises if there are deeper nodes, as they may not be left out in silence.
     """
     links = links.select("source", "target").distinct().persist()
     frontier = roots.select("node").distinct().withColumn("depth", F.lit(0)).persist()
-    seen = frontier
-    for depth in range(1, max_depth + 1):
+    seen, depth = frontier, 0
+    while True:
+        depth += 1
         met = frontier.join(links, frontier["node"] == links["source"])
         step = met.select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         step = step.withColumn("depth", F.lit(depth)).persist()
         if step.isEmpty():
-            break
+            return seen
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"there are nodes deeper than {max_depth}")
         seen, frontier = seen.unionByName(step), step
-    return seen
 
 
 def primary(paths: DataFrame, identity: Sequence[str], path: str) -> DataFrame:

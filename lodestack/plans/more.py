@@ -45,10 +45,10 @@ select doc_id, count(*) as blocks, count(*) filter (now = was) as matching, case
 def q40_capsule_blocks(spark, sf_dir):
     """Block digests against a capsule; a unit with only some matching blocks is partial."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    blocks = docs.where(F.length("text") > 0).select(
-        "doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 512).cast("int"))).alias("block")
-    )
-    now = F.substring("text", F.col("block") * 512 + 1, F.lit(512))
+    # the blocks themselves are exploded, so no row carries the whole text
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,512}"), F.lit(0))
+    blocks = docs.where(F.length("text") > 0).select("doc_id", F.posexplode(cut).alias("block", "now"))
+    now = F.col("now")
     told = blocks.select(
         "doc_id",
         F.sha2(now, 256).alias("now"),

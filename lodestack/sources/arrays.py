@@ -125,10 +125,42 @@ def chunks(src: DataFrame) -> DataFrame:
     return _each(src, CHUNKS, rows)
 
 
+VALUES = "file string, path string, index bigint, value double, status string, integer decimal(20,0), text string, element binary"
+
+
+def _exact(got: np.ndarray) -> list[pa.Array]:
+    """value, integer, text and element of decoded elements. A value that a double can't hold is null, never rounded."""
+    nulls = lambda t: pa.nulls(got.size, t)
+    width = got.dtype.itemsize
+    raw = np.ascontiguousarray(got).tobytes()
+    element = pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
+    if got.dtype.kind == "S":
+        # a fixed string ends at its padding; one that isn't UTF-8 is there as bytes only
+        texts = []
+        for i in range(got.size):
+            try:
+                texts.append(raw[i * width : (i + 1) * width].rstrip(b"\0").decode())
+            except UnicodeDecodeError:
+                texts.append(None)
+        return [nulls(pa.float64()), nulls(pa.decimal128(20, 0)), pa.array(texts, pa.string()), element]
+    if got.dtype.kind == "f":
+        return [pa.array(got.astype(np.float64)), nulls(pa.decimal128(20, 0)), nulls(pa.string()), element]
+    whole = pa.array(got.astype(got.dtype.newbyteorder("=")))
+    # every whole number up to 2^53 has a double of its own
+    same = np.ones(got.size, bool) if width < 8 else (got <= 2**53) & (got >= (0 if got.dtype.kind == "u" else -(2**53)))
+    value = pa.array(got.astype(np.float64), mask=~same)
+    return [value, whole.cast(pa.decimal128(20, 0)), nulls(pa.string()), element]
+
+
 def values(decoded: DataFrame, described: DataFrame) -> DataFrame:
-    """Long form: file, path, index (row-major rank in the array), value (double), status. Edge chunks are cropped, and every
-    element of a chunk that isn't accepted is there with a null value."""
+    """Long form: file, path, index (row-major rank in the array), value (double), status, integer, text and element. Edge chunks are
+    cropped, and every element of a chunk that isn't accepted is there with nulls.
+
+    ``element`` has the stored bytes of every accepted element. ``integer`` is exact for all whole numbers, ``text`` is the string
+    of fixed strings, and ``value`` is null where a double can't hold the element.
+    """
     both = decoded.join(described.select("file", "path", "shape", "chunks", "dtype"), ["file", "path"])
+    names = [c.split()[0] for c in VALUES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,15 +173,17 @@ def values(decoded: DataFrame, described: DataFrame) -> DataFrame:
                     spread = [1] * len(shape)
                     spread[axis] = n
                     at = at + ((o + np.arange(n)) * stride).reshape(spread)
-                if r["data"] is None or r["dtype"].startswith("S"):
-                    got = pa.nulls(at.size, pa.float64())
+                if r["data"] is None:
+                    got = [pa.nulls(at.size, t) for t in (pa.float64(), pa.decimal128(20, 0), pa.string(), pa.binary())]
                 else:
                     whole = np.frombuffer(r["data"], r["dtype"]).reshape(dims)
-                    got = pa.array(whole[tuple(slice(0, n) for n in inside)].ravel().astype(np.float64))
+                    got = _exact(whole[tuple(slice(0, n) for n in inside)].ravel())
                 fixed = [pa.array([r[k]] * at.size, pa.string()) for k in ("file", "path", "status")]
-                yield pa.RecordBatch.from_arrays([fixed[0], fixed[1], pa.array(at.ravel()), got, fixed[2]], ["file", "path", "index", "value", "status"])
+                yield pa.RecordBatch.from_arrays(
+                    [fixed[0], fixed[1], pa.array(at.ravel()), got[0], fixed[2], *got[1:]], names
+                )
 
-    return both.mapInArrow(run, "file string, path string, index bigint, value double, status string")
+    return both.mapInArrow(run, VALUES)
 
 
 def markers(src: DataFrame) -> DataFrame:
