@@ -98,10 +98,33 @@ def running(items: Column, state: Column, step, out: str) -> Column:
     return bound(items, whole)
 
 
+def give_back() -> None:
+    """Return the memory that Arrow and the C library hold but no longer use to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of GNU has it
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of this package."""
+    """``mapInArrow`` with a function of this package.
+
+    Python workers outlive their tasks, and what one has freed would stay its own through all later stages; so a task ends by
+    giving that back.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 #: Columns that a long array of floats is cut into, so that Spark can sum it piece by piece.

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import give_back, map_arrow, materialise
 
 MAGIC = b"LSTK0001"
 HEAD = struct.Struct("<8s9q")
@@ -46,6 +46,7 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
+        give_back()
     return _loaded[path]
 
 
