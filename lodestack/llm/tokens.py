@@ -94,22 +94,25 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     offsets = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
-    index = coded.indices.to_numpy().astype(np.int64)
+    index = coded.indices.to_numpy().astype(np.int32)
     words = coded.dictionary.to_pylist()
     # a text's first piece has no space before it
     first = offsets[:-1]
     heads, head_of = np.unique(index[first], return_inverse=True)
     flat, counts = _encode_pieces(tok, [" " + w for w in words] + [words[i] for i in heads])
-    starts = np.cumsum(counts) - counts
     index[first] = len(words) + head_of
-    per = counts[index]
-    total = int(per.sum())
-    shift = (starts[index] - (np.cumsum(per) - per)).astype(np.int32)
+    # a row of int32 each: the arrays are as long as the batch has words, and a batch has fewer than 2^31 ids
+    starts = (np.cumsum(counts) - counts).astype(np.int32)
+    per = counts.astype(np.int32)[index]
+    shift = np.cumsum(per, dtype=np.int32)
+    total = int(shift[-1])
+    np.subtract(per, shift, out=shift)
+    shift += starts[index]
     spot = np.repeat(shift, per)
     spot += np.arange(total, dtype=np.int32)
     ids = flat[spot]
     del spot, shift
-    per_text = np.add.reduceat(per, first)
+    per_text = np.add.reduceat(per, first, dtype=np.int64)
     # white-space runs of three and more around a cut
     edge = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words] + [False] * len(heads))
     suspects = np.unique(np.searchsorted(offsets, np.flatnonzero(edge[coded.indices.to_numpy()]), side="right") - 1)
