@@ -59,7 +59,7 @@ def main(args: list[str] | None = None) -> int:
         bad.show(1000, False)
         return int(not bad.isEmpty())
     elif got.command == "query":
-        from .plans import catalogue, more  # noqa: F401
+        from .plans import catalogue, further, more  # noqa: F401
 
         catalogue.QUERIES[got.name](spark, got.tables).show(1000, False)
     else:

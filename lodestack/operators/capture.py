@@ -74,3 +74,14 @@ def choose_replica(units: DataFrame, copies: Sequence[str], current: str = "now"
 def repeated(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Groups with more than one row, with their number and smallest key."""
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least")).where(F.col("n") > 1)
+
+
+def complement(text: Column, ranges: Column) -> Column:
+    """What the ``ranges`` (structs of int start and stop, by start) leave of ``text``, in order."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        between = F.substr(text, s["at"] + 1, F.greatest(r["start"] - s["at"], F.lit(0)))
+        return F.struct(F.greatest(s["at"], r["stop"]).alias("at"), F.concat(s["out"], between).alias("out"))
+
+    return F.aggregate(ranges, begin, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))

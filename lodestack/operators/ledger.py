@@ -55,3 +55,18 @@ def precedence() -> Column:
         .when(F.bool_or("warning"), "accept_with_warnings")
         .otherwise("accept")
     )
+
+
+def running_total(rows: DataFrame, by: Sequence[str], order: Sequence[str], size: str, tile: int) -> DataFrame:
+    """``rows`` with ``total``, the sum of ``size`` up to each row in its group.
+
+    The first of ``order`` is a whole number; groups are cut into tiles of it, so that one large group is many tasks, and only the
+    sums of tiles are added up over a whole group.
+    """
+    cut = rows.withColumn("tile", F.floor(F.col(order[0]) / tile))
+    ahead = Window.partitionBy(*by).orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "tile").agg(F.sum(size).alias("all"))
+    sums = sums.select(*by, "tile", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*by, "tile").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    told = cut.withColumn("part", F.sum(size).over(inside)).join(sums, [*by, "tile"])
+    return told.withColumn("total", F.col("before") + F.col("part")).drop("tile", "part", "before")
