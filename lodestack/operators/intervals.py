@@ -62,6 +62,24 @@ def range_join(left: DataFrame, right: DataFrame, width: int, by: Sequence[str]
     return met.drop("bucket")
 
 
+def holders(points: DataFrame, segments: DataFrame, at: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a point and a segment (r_start, r_stop) that holds it, however long segments are.
+
+    A segment goes to the least of the bucket sizes 2^8, 2^12, ... 2^60 at which it touches two buckets at most, so its copies don't
+    grow with its length; at the largest size it may touch 16. A point gets a copy for each size in use, 14 at most.
+    """
+    touched = lambda c, bits: F.call_function("shiftright", c, bits)
+    last = F.col("r_stop") - 1
+    more = [(touched(last, F.lit(b)) - touched(F.col("r_start"), F.lit(b)) > 1).cast("int") * 4 for b in range(8, 60, 4)]
+    sized = segments.where(F.col("r_start") < F.col("r_stop")).withColumn("bits", sum(more, F.lit(8)))
+    ends = [touched(c, F.col("bits")) for c in (F.col("r_start"), last)]
+    b = sized.withColumn("bucket", F.explode(F.sequence(*ends)))
+    a = points.withColumn("sizes", sized.agg(F.collect_set("bits")).scalar()).withColumn("bits", F.explode("sizes")).drop("sizes")
+    a = a.withColumn("bucket", touched(F.col(at), F.col("bits")))
+    met = a.join(b, [*by, "bits", "bucket"]).where((F.col(at) >= F.col("r_start")) & (F.col(at) < F.col("r_stop")))
+    return met.drop("bits", "bucket")
+
+
 def covered(updates: DataFrame, extents: DataFrame, by: Sequence[str], key: Sequence[str], width: int) -> DataFrame:
     """Each update with whether one island of the union of ``extents`` holds all of it."""
     islands = union(extents, by).select(*by, F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))

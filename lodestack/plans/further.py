@@ -135,14 +135,17 @@ select segment, count(*) as points, cast(sum(cast(floor(l_extendedprice) as bigi
 def q63_unequal_segments(spark, sf_dir):
     """Which segment holds a byte, where segments differ in length."""
     key = F.col("s_suppkey").cast("bigint")
+    # null where it is above any bigint: a segment that starts there holds no byte, one that ends there holds all bytes from its start
+    edge = lambda k: F.try_multiply(F.try_multiply(k, k), F.lit(100))
     segments = table(spark, sf_dir, "supplier").select(
-        key.alias("segment"), (key * key * 100).alias("r_start"), ((key + 1) * (key + 1) * 100).alias("r_stop")
+        key.alias("segment"),
+        edge(key).alias("r_start"),
+        F.coalesce(edge(F.try_add(key, F.lit(1))), F.lit(2**63 - 1)).alias("r_stop"),
     )
     at = F.floor("l_extendedprice").cast("bigint")
     # bytes asked for are counted before they meet the segments
     points = table(spark, sf_dir, "lineitem").groupBy(at.alias("l_start")).agg(F.count(F.lit(1)).alias("n"))
-    points = points.withColumn("l_stop", F.col("l_start") + 1)
-    met = intervals.range_join(points, segments, 4096)
+    met = intervals.holders(points, segments, "l_start")
     return met.groupBy("segment").agg(
         F.sum("n").alias("points"), F.sum(F.col("n") * (F.col("l_start") - F.col("r_start"))).alias("offsets")
     )

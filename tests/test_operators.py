@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import gf256
 from lodestack.operators import capture, graph, grid, intervals, ledger
+from lodestack.plans import further
 from lodestack.streaming import ingest
 
 
@@ -46,6 +47,35 @@ def test_intervals_against_brute_force(spark, seed):
         assert sorted(pairs) == sorted(brute)
 
 
+def test_holders_of_segments_of_any_length(spark):
+    rng = random.Random(5)
+    starts = [rng.choice([-1, 1]) * rng.randrange(1 << rng.randrange(1, 62)) for _ in range(120)]
+    segments = [(i, i % 3, a, a + rng.randrange(1 << rng.randrange(1, 62))) for i, a in enumerate(starts)]
+    segments += [(200, 0, -(2**63), 2**63 - 1), (201, 1, 5, 5), (202, 1, 9, 3), (203, 1, None, 7), (204, 2, 255, 257)]
+    ends = [e + d for _, _, a, z in segments if a is not None for e in (a, z) for d in (-1, 0, 1) if abs(e + d) < 2**63]
+    points = [(i, i % 3, x) for i, x in enumerate(ends + [0, 255, 256, 257, 4096, None])]
+    left = spark.createDataFrame(points, "id bigint, source int, l_start bigint")
+    right = spark.createDataFrame(segments, "other bigint, source int, r_start bigint, r_stop bigint")
+    got = [(r.id, r.other) for r in intervals.holders(left, right, "l_start", ["source"]).collect()]
+    want = [(i, k) for i, s, x in points for k, t, a, z in segments if s == t and None not in (x, a) and a <= x < z]
+    assert sorted(got) == sorted(want)
+    assert intervals.holders(left, right.limit(0), "l_start", ["source"]).count() == 0
+
+
+def test_unequal_segments_of_large_keys(spark, tmp_path):
+    keys = [0, 1, 2, 31, 60_000, 50_000_000, 303_700_049, 303_700_050, 2**62, -1, -7, -(2**62), None]
+    prices = [0.5, 99.9, 100.0, 399.99, 400.0, 96_100.0, 102_399.9, 102_400.0, 3.6e11, 2.5e17, 2.5e17, 2.0**63 - 1024, -4.0, None]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(x,) for x in prices], "l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for k in keys:
+        held = [int(x // 1) - k * k * 100 for x in prices if None not in (k, x) and k * k * 100 <= x // 1 < (k + 1) * (k + 1) * 100]
+        if held:
+            want[k] = (len(held), sum(held))
+    got = further.q63_unequal_segments(spark, str(tmp_path)).collect()
+    assert {r.segment: (r.points, r.offsets) for r in got} == want and {60_000, 50_000_000, 303_700_049} <= set(want)
+
+
 def test_touching_ranges_stay_apart(spark):
     df = frame(spark, [(1, 0, 0, 5), (2, 0, 5, 9), (3, 0, 8, 10), (4, 0, 1, 2)])
     assert {(r.start, r.stop) for r in intervals.union(df, ["source"]).collect()} == {(0, 5), (5, 10)}
