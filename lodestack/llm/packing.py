@@ -3,7 +3,7 @@
 Which sequences there are depends only on how many pieces have each length, and there are at most ``capacity`` lengths. So the
 driver gets that histogram (its size doesn't grow with the documents), packs it, and holds sequences of equal content as
 one group with a multiplicity: best fit in descending length first, then local search over the groups with room left, which
-moves a piece, exchanges one for one or two for one between a fuller and a less full sequence while the sum of squared
+moves a piece, exchanges one for one or two for one between any fuller and any less full sequence while the sum of squared
 fills rises, until sequences empty. Pieces get their rank among those of their length and take the place that the plan
 gives that rank. No text or token list moves for that.
 
@@ -13,6 +13,7 @@ runs, which changes nothing, as they are equal. No documents give no rows. Extra
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,6 @@ from .common import map_arrow, materialise
 
 CAPACITY = 2048
 END_ID = 0
-#: Local search stops after so many accepted changes, a bound on driver time; each is applied to whole groups.
-MOST_MOVES = 4000
 
 #: A group of equal sequences: how often, the room left, and the number of pieces by length.
 Group = tuple[int, int, dict[int, int]]
@@ -110,6 +109,21 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Group]:
     return [g for groups in by_room.values() for g in groups]
 
 
+def least(histogram: dict[int, int], capacity: int) -> int:
+    """Fewer sequences than this can't hold the pieces (Martello and Toth): those longer than half never share one, and the
+    room that they leave holds shorter ones only."""
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(histogram)] = list(histogram.values())
+    upto = np.append(0, np.cumsum(n))
+    tokens_upto = np.append(0, np.cumsum(n * np.arange(capacity + 1)))
+    half = capacity // 2
+    shortest = np.arange(half + 1)
+    with_room = upto[capacity - shortest + 1] - upto[half + 1]
+    room = with_room * capacity - (tokens_upto[capacity - shortest + 1] - tokens_upto[half + 1])
+    over = tokens_upto[half + 1] - tokens_upto[shortest] - room
+    return int((upto[-1] - upto[half + 1] + np.maximum(0, -(-over // capacity))).max())
+
+
 def _changed(held: dict[int, int], out: list[int], into: list[int]) -> dict[int, int]:
     held = dict(held)
     for x in out:
@@ -121,81 +135,151 @@ def _changed(held: dict[int, int], out: list[int], into: list[int]) -> dict[int,
     return held
 
 
-def _best_change(giver: dict[int, int], taker: dict[int, int], room: int) -> tuple[int, list[int], list[int]] | None:
-    """The change that fills ``taker`` most: (gain, pieces given, pieces taken back)."""
-    best: tuple[int, list[int], list[int]] | None = None
+def _sums(held: dict[int, int]) -> tuple[int, int]:
+    """Bit sets of the lengths of single pieces and of pairs of pieces."""
+    ones = sum(1 << x for x in held)
+    twos = 0
+    for x, n in held.items():
+        twos |= (ones if n > 1 else ones ^ 1 << x) << x
+    return ones, twos
+
 
-    def offer(gain: int, given: list[int], back: list[int]) -> None:
-        nonlocal best
-        if 0 < gain <= room and (best is None or gain > best[0]):
-            best = (gain, given, back)
+def _above(bits: int, most: int) -> int:
+    """The bit set of all numbers that are above one of ``bits`` by 1 to ``most``."""
+    found, reach = bits << 1, 1
+    while reach < most:
+        step = min(reach, most - reach)
+        found |= found << step
+        reach += step
+    return found
 
-    def twos(held: dict[int, int]) -> list[tuple[int, int]]:
-        sizes = sorted(held)[:24]
-        return [(x, y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or held[x] > 1]
 
-    for x in giver:
-        offer(x, [x], [])
-        for y in taker:
-            offer(x - y, [x], [y])
+def _best_change(giver: dict[int, int], taker: dict[int, int], room: int) -> tuple[int, list[int], list[int]] | None:
+    """The change that fills ``taker`` most: (gain, pieces given, pieces taken back)."""
+    best: tuple[int, int, bool, tuple[int, ...]] | None = None
+    ones, twos = _sums(giver)
+    sizes = sorted(taker)
+    pairs = ((x, y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or taker[x] > 1)
+    singles = [(y,) for y in sizes]
+    for sums, two, backs in ((ones, False, [(), *singles]), (twos, True, singles), (ones, False, pairs)):
+        for back in backs:
+            most = sum(back) + room
+            given = (sums & (1 << most + 1) - 1).bit_length() - 1
+            gain = given - sum(back)
+            if gain > (best[0] if best else 0):
+                best = (gain, given, two, back)
         if best and best[0] == room:
-            return best
-    for x, y in twos(giver):
-        for z in taker:
-            offer(x + y - z, [x, y], [z])
-    if best and best[0] == room:
-        return best
-    for y, z in twos(taker):
-        for x in giver:
-            offer(x - y - z, [x], [y, z])
-    return best
-
-
-def improve(groups: list[Group], capacity: int, most: int = MOST_MOVES) -> list[Group]:
+            break
+    if not best:
+        return None
+    gain, given, two, back = best
+    if not two:
+        return gain, [given], list(back)
+    x = next(x for x in giver if given - x in giver and (2 * x != given or giver[x] > 1))
+    return gain, [x, given - x], list(back)
+
+
+def improve(groups: list[Group], capacity: int) -> list[Group]:
     """Local search over sequences with room left. Each change makes a fuller sequence fuller at the cost of one less full,
-    so the sum of squared fills rises and the search ends; sequences that lose their last piece go."""
+    so the sum of squared fills rises and the search ends; sequences that lose their last piece go.
+
+    It ends when the number of sequences is the least possible, or when no move, exchange of one for one, of two for one or of one
+    for two between any two sequences makes the fuller one fuller. Bit sets tell whether two groups have such a change, so all
+    pairs of groups are looked at; two groups without one are not looked at again.
+    """
     done = [g for g in groups if not g[1]]
+    histogram: dict[int, int] = {}
+    for times, _, held in groups:
+        for length, each in held.items():
+            histogram[length] = histogram.get(length, 0) + times * each
+    enough, width = least(histogram, capacity), capacity + 1
+    total = sum(g[0] for g in groups)
+    room_of = lambda key: capacity - sum(n * k for n, k in key)
     merged: dict[tuple, int] = {}
-
-    def put(times: int, held: dict[int, int]) -> None:
-        if times and held:
+    for times, room, held in groups:
+        if room:
             key = tuple(sorted(held.items()))
             merged[key] = merged.get(key, 0) + times
+    # a group's room, the sums that it can give and those that it can take, and when it came; in the order of that
+    known: dict[tuple, tuple[int, int, int, int, int]] = {}
+    seen: dict[tuple, int] = {}  # whatever came before that has been looked at as a taker
+    givers: list[tuple[int, tuple]] = []
+    waiting: set[tuple] = set()
+    now = 0
+    full: dict[tuple, int] = {}
+
+    def wait(key: tuple, room: int) -> None:
+        if key not in waiting:
+            waiting.add(key)
+            heapq.heappush(givers, (-room, key))
+
+    def add(key: tuple) -> None:
+        nonlocal now
+        now += 1
+        room = room_of(key)
+        ones, twos = _sums(dict(key))
+        known.pop(key, None)
+        back = 1 | ones | twos, ones
+        takes, fills = (f(back[0]) | f(back[1]) << width for f in (lambda x: _above(x, room), lambda x: x << room))
+        known[key] = room, ones | twos << width, takes, fills, now
+        seen[key] = 0
+        wait(key, room)
 
-    for times, _, held in groups:
-        if _:
-            put(times, held)
-    room_of = lambda key: capacity - sum(n * k for n, k in key)
-    moves, tried = 0, set()
-    while moves < most:
+    def put(times: int, held: dict[int, int]) -> None:
+        if not held:
+            return
+        key = tuple(sorted(held.items()))
+        if not room_of(key):
+            full[key] = full.get(key, 0) + times
+            return
+        before = merged.get(key, 0)
+        merged[key] = before + times
+        if before > 1:
+            return
+        add(key)  # also if there was one, which can now give to its like
+        room, _, takes, _, _ = known[key]
+        for other, (r, gives, _, _, _) in known.items():
+            if r >= room and gives & takes:
+                wait(other, r)
+
+    if total > enough:
+        for key in sorted(merged, key=room_of):
+            add(key)
+    while givers and total > enough:
         # the least full gives first, to the fullest that can take
-        order = sorted((k for k in merged if room_of(k)), key=room_of)
-        found = None
-        for giver in reversed(order[-12:]):
-            for taker in order[:200]:
-                if (giver, taker) in tried or room_of(taker) > room_of(giver):
-                    continue
-                if giver == taker and merged[giver] < 2:
-                    continue
-                tried.add((giver, taker))
-                if change := _best_change(dict(giver), dict(taker), room_of(taker)):
-                    found = (giver, taker, change)
-                    break
-            if found:
+        _, giver = heapq.heappop(givers)
+        waiting.discard(giver)
+        if giver not in merged:
+            continue
+        room, gives, _, _, _ = known[giver]
+        taker, rank = None, 2 * width
+        for other in reversed(known):
+            r, _, takes, fills, came = known[other]
+            if came <= seen[giver]:
                 break
-        if not found:
-            break
-        giver, taker, (_, given, back) = found
+            if r <= room and gives & takes and (other != giver or merged[giver] > 1):
+                if (at := r if gives & fills else width + r) < rank:
+                    taker, rank = other, at
+        if taker is None:
+            seen[giver] = now
+            continue
+        change = _best_change(dict(giver), dict(taker), known[taker][0])
+        if not change:
+            raise AssertionError("the bit sets promise a change that isn't there")
+        _, given, back = change
         times = merged[giver] // 2 if giver == taker else min(merged[giver], merged[taker])
         for key in (giver, taker):
             merged[key] -= times
             if not merged[key]:
-                del merged[key]
-        put(times, _changed(dict(giver), given, back))
+                del merged[key], known[key], seen[key]
+        left = _changed(dict(giver), given, back)
+        total -= 0 if left else times
+        put(times, left)
         put(times, _changed(dict(taker), back, given))
-        tried.discard((giver, taker))
-        moves += 1
-    return done + [(times, room_of(key), dict(key)) for key, times in merged.items()]
+        if giver in merged:
+            wait(giver, room)
+    rest = [(times, room_of(key), dict(key)) for found in (full, merged) for key, times in found.items()]
+    return done + rest
 
 
 def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:

@@ -133,3 +133,69 @@ def test_local_search_empties_sequences():
     # best fit leaves two sequences that one exchange turns into one full and one shorter, until one is empty
     start = [(1, 30, {70: 1}), (1, 40, {60: 1}), (1, 70, {30: 1}), (1, 60, {40: 1})]
     assert sum(g[0] for g in packing.improve(start, 100)) == 2
+
+
+def sums_of(held):
+    """Every choice of one or two pieces, by their number."""
+    sizes = sorted(held)
+    return [(x,) for x in sizes], [(x, y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or held[x] > 1]
+
+
+def test_local_search_leaves_no_change():
+    r = random.Random(11)
+    for capacity, make, n in ((2048, lambda: r.randint(512, 1024), 700), (300, lambda: r.randint(75, 150), 1500), (60, lambda: r.randint(1, 59), 300)):
+        counts = dict(Counter(make() for _ in range(n)))
+        start = packing.best_fit(counts, capacity)
+        groups = packing.improve(start, capacity)
+        held = Counter()
+        for times, room, lengths in groups:
+            assert room == capacity - sum(k * v for k, v in lengths.items()) >= 0
+            held.update({k: times * v for k, v in lengths.items()})
+        assert held == counts
+        if sum(g[0] for g in groups) == packing.least(counts, capacity):
+            continue
+        merged = Counter()
+        for times, room, lengths in groups:
+            if room:
+                merged[tuple(sorted(lengths.items()))] += times
+        rooms = {k: capacity - sum(x * y for x, y in k) for k in merged}
+        parts = {k: [[sum(c) for c in p] for p in sums_of(dict(k))] for k in merged}
+        for giver in merged:
+            for taker, room in rooms.items():
+                if room <= rooms[giver] and (giver != taker or merged[giver] > 1):
+                    (ones, twos), (back, backs) = parts[giver], parts[taker]
+                    gains = [x - y for x in ones for y in [0, *back, *backs]] + [x - y for x in twos for y in back]
+                    assert not any(0 < g <= room for g in gains)
+
+
+def test_two_of_many_lengths_for_one():
+    giver = {x: 1 for x in range(10, 40)}
+    assert packing._best_change(giver, {70: 1}, 7) == (7, [38, 39], [70])
+    assert packing._best_change({5: 1}, {70: 1}, 4) is None and packing._best_change({5: 2}, {6: 1}, 4) == (4, [5, 5], [6])
+    assert packing._best_change({70: 1}, giver, 5) in [(5, [70], [x, 65 - x]) for x in range(26, 33)]
+
+
+def test_least_is_a_lower_bound():
+    r = random.Random(4)
+    met = 0
+    for _ in range(150):
+        pieces = [r.randint(1, 20) for _ in range(r.randint(1, 8))]
+        # the fewest sequences, then the least content of the last one, for each subset
+        best = [(0, 20)] + [(99, 0)] * (2 ** len(pieces) - 1)
+        for s in range(1, 2 ** len(pieces)):
+            for i, x in enumerate(pieces):
+                if s >> i & 1:
+                    n, used = best[s ^ 1 << i]
+                    best[s] = min(best[s], (n, used + x) if used + x <= 20 else (n + 1, x))
+        least = packing.least(dict(Counter(pieces)), 20)
+        assert least <= best[-1][0]
+        met += least == best[-1][0]
+    assert met > 120 and packing.least({}, 20) == 0
+    assert packing.least({11: 5, 9: 3, 3: 1}, 20) == 5 and packing.least({11: 5, 10: 5}, 20) == 8
+
+
+def test_local_search_goes_beyond_the_least_full():
+    # many sequences are less full than the first that can give anything
+    r = random.Random(3)
+    start = packing.best_fit(dict(Counter(r.randint(409, 716) for _ in range(3000))), 2048)
+    assert sum(g[0] for g in packing.improve(start, 2048)) <= sum(g[0] for g in start) - 30
