@@ -87,12 +87,29 @@ def contexts(ids: np.ndarray, doc: np.ndarray, targets: np.ndarray) -> np.ndarra
 
 
 def _hidden(p: dict, around: np.ndarray) -> np.ndarray:
-    h = p["e"][0][around[0]] + p["b"]
+    h = np.take(p["e"][0], around[0], axis=0)
+    h += p["b"]
     for k in range(1, len(OFFSETS)):
-        h += p["e"][k][around[k]]
+        h += np.take(p["e"][k], around[k], axis=0)
     return np.tanh(h, out=h)
 
 
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _turned(w: np.ndarray) -> np.ndarray:
+    """The matrix of each class, as the product with its targets takes it."""
+    return np.ascontiguousarray(w.reshape(CLASSES, PER_CLASS, WIDTH).transpose(0, 2, 1))
+
+
+def _by_id(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the ``rows`` of each of ``n`` ids."""
+    width = rows.shape[1]
+    spots = (ids.astype(np.int64)[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(spots, rows.ravel(), n * width).astype(np.float32).reshape(n, width)
+
+
 def _by_class(words: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
     """Targets in order of their class, where each class begins, and their ids within it."""
     of = (words // PER_CLASS).astype(np.uint8)
@@ -105,59 +122,65 @@ def log_probabilities(p: dict, around: np.ndarray, words: np.ndarray) -> np.ndar
     h = _hidden(p, around)
     of = words // PER_CLASS
     z = h @ p["c"].T + p["cb"]
-    got = z[np.arange(len(words)), of] - np.log(np.exp(z).sum(1))
+    got = z[np.arange(len(words)), of] - np.log(_row_sums(np.exp(z)))
     order, edges, place = _by_class(words)
-    h, inner = h[order], np.empty(len(words), np.float32)
+    h, inner, turned = h[order], np.empty(len(words), np.float32), _turned(p["w"])
     for c in range(CLASSES):
         i, j = edges[c], edges[c + 1]
         if i < j:
             own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            z = h[i:j] @ p["w"][own].T + p["wb"][own]
-            inner[i:j] = z[np.arange(j - i), place[i:j]] - np.log(np.exp(z).sum(1))
+            z = h[i:j] @ turned[c] + p["wb"][own]
+            inner[i:j] = z[np.arange(j - i), place[i:j]] - np.log(_row_sums(np.exp(z)))
     got[order] += inner
     return got
 
 
 def _step(p: dict, g: dict, around: np.ndarray, words: np.ndarray) -> None:
-    """One AdaGrad step on a batch of targets."""
+    """One AdaGrad step on a batch of targets.
+
+    Each array of parameters is changed as a whole, once; what no target names has a gradient of 0 and stays.
+    """
     n = np.float32(len(words))
     h = _hidden(p, around)
     of = words // PER_CLASS
-    z = np.exp(h @ p["c"].T + p["cb"])
-    dz = z / z.sum(1, keepdims=True)
-    dz[np.arange(len(words)), of] -= 1
-    dz /= n
+    dz = h @ p["c"].T
+    dz += p["cb"]
+    np.exp(dz, out=dz)
+    dz *= (1 / (n * _row_sums(dz)))[:, None]
+    dz[np.arange(len(words)), of] -= 1 / n
     dh = dz @ p["c"]
 
-    def put(name: str, at, d: np.ndarray) -> None:
-        g[name][at] += d * d
-        p[name][at] -= RATE * d / np.sqrt(g[name][at])
+    def put(p: np.ndarray, g: np.ndarray, d: np.ndarray) -> None:
+        g += d * d
+        d *= RATE
+        d /= np.sqrt(g)
+        p -= d
 
-    put("c", slice(None), dz.T @ h)
-    put("cb", slice(None), dz.sum(0))
+    put(p["c"], g["c"], dz.T @ h)
+    put(p["cb"], g["cb"], dz.sum(0))
     order, edges, place = _by_class(words)
     by_class, back = h[order], np.empty_like(h)
+    dw, dwb, turned = np.zeros_like(p["w"]), np.zeros_like(p["wb"]), _turned(p["w"])
     for c in range(CLASSES):
         i, j = edges[c], edges[c + 1]
         if i == j:
             continue
         own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-        dz = np.exp(by_class[i:j] @ p["w"][own].T + p["wb"][own])
-        dz *= 1 / (n * dz.sum(1, keepdims=True))
+        dz = by_class[i:j] @ turned[c]
+        dz += p["wb"][own]
+        np.exp(dz, out=dz)
+        dz *= (1 / (n * _row_sums(dz)))[:, None]
         dz[np.arange(j - i), place[i:j]] -= 1 / n
         np.matmul(dz, p["w"][own], out=back[i:j])
-        put("w", own, dz.T @ by_class[i:j])
-        put("wb", own, dz.sum(0))
+        np.matmul(dz.T, by_class[i:j], out=dw[own])
+        dz.sum(0, out=dwb[own])
+    put(p["w"], g["w"], dw)
+    put(p["wb"], g["wb"], dwb)
     dh[order] += back
     dh *= 1 - h * h
-    put("b", slice(None), dh.sum(0))
+    put(p["b"], g["b"], dh.sum(0))
     for k in range(len(OFFSETS)):
-        order = np.argsort(around[k], kind="stable")
-        sorted_ids = around[k][order]
-        at = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
-        spots, d = sorted_ids[at], np.add.reduceat(dh[order], at, axis=0)
-        g["e"][k][spots] += d * d
-        p["e"][k][spots] -= RATE * d / np.sqrt(g["e"][k][spots])
+        put(p["e"][k], g["e"][k], _by_id(around[k], dh, WORDS + 1))
 
 
 def _bins(words: list[str]) -> np.ndarray:
