@@ -52,6 +52,10 @@ LCS = 0.7
 LCS_WITH_ANSWER = 0.55
 ANSWER_WORDS = 8
 LEAST_WORDS = 8
+#: Segments that are summed one by one.
+FEW_SEGMENTS = 8
+#: Bits of a word's code by which an item's words are looked up before a subsequence is sought.
+LOOKUP = 12
 #: Inverse document frequencies are held between these, so that a passage found in many documents keeps its weight.
 LEAST_IDF, MOST_IDF = 1.0, 3.0
 #: Share of blocks beyond which a bucket is no feature, and the share of its words that an item keeps at least.
@@ -160,7 +164,11 @@ def frequencies(codes: DataFrame) -> tuple[np.ndarray, int]:
         total = np.zeros(FEATURES + 1, np.int64)
         for got, counts in _read(batches):
             of, doc, _ = _blocks(counts)
-            total[:FEATURES] += np.bincount(np.unique(of * FEATURES + buckets(got)) % FEATURES, minlength=FEATURES)
+            bucket = buckets(got)
+            order = np.argsort(bucket.astype(np.uint16), kind="stable")  # blocks ascend within a bucket
+            bucket, of = bucket[order], of[order]
+            first = (np.diff(bucket, prepend=-1) > 0) | (np.diff(of, prepend=-1) != 0)
+            total[:FEATURES] += np.bincount(bucket[first], minlength=FEATURES)
             total[FEATURES] += len(doc)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["word", "n"])
@@ -185,10 +193,33 @@ def weights(df: np.ndarray, n_blocks: int, parts: list[np.ndarray]) -> np.ndarra
     return np.where(use, idf, 0.0).astype(np.float32)
 
 
+def _segment_sums(rows: np.ndarray, index: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of ``rows[index]`` of each segment; segments begin ``at`` these places and none is empty.
+
+    The k-th rows of all segments that have so many are added at once; when few such segments are left, one after the other.
+    """
+    if not len(at):
+        return np.zeros((0, rows.shape[1]), rows.dtype)
+    sizes = np.diff(at, append=len(index))
+    order = np.argsort(-sizes, kind="stable")
+    at, sizes = at[order], sizes[order]
+    sums = np.take(rows, index[at], axis=0)
+    longer = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="left").tolist()  # segments of more than k rows
+    for k, n in enumerate(longer, 1):
+        if n < FEW_SEGMENTS:
+            for i in range(n):
+                sums[i] += np.take(rows, index[at[i] + k : at[i] + sizes[i]], axis=0).sum(0)
+            break
+        sums[:n] += np.take(rows, index[at[:n] + k], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def _sums(rows: np.ndarray, bucket: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sum of ``rows[bucket]`` of each block that has words (``block`` ascends): blocks and sums."""
     at = np.flatnonzero(np.diff(block, prepend=-1))
-    return block[at], np.add.reduceat(rows[bucket], at, axis=0) if len(at) else np.zeros((0, rows.shape[1]), rows.dtype)
+    return block[at], _segment_sums(rows, bucket, at)
 
 
 def _add_gram(total: np.ndarray, bucket: np.ndarray, block: np.ndarray, weighted: np.ndarray) -> None:
@@ -200,7 +231,7 @@ def _add_gram(total: np.ndarray, bucket: np.ndarray, block: np.ndarray, weighted
     order = np.argsort(bucket.astype(np.uint16), kind="stable")
     found = bucket[order]
     at = np.flatnonzero(np.diff(found, prepend=-1))
-    total[found[at]] += np.add.reduceat(sums[nth[order]], at, axis=0)
+    total[found[at]] += _segment_sums(sums, nth[order], at)
 
 
 def latent_space(codes: DataFrame, idf: np.ndarray, parts: list[np.ndarray], k: int = DIMENSIONS, seed: int = 9) -> tuple[np.ndarray, float]:
@@ -275,13 +306,17 @@ class Model:
         at, sums = _sums(self.rows, bucket, block)
         self.vectors = np.zeros((len(parts), self.rows.shape[1]), np.float32)
         self.vectors[at] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        self.masks: dict[int, dict[int, int]] = {}
+        self.masks: dict[int, tuple[dict[int, int], np.ndarray]] = {}
 
-    def masks_of(self, item: int) -> dict[int, int]:
+    def masks_of(self, item: int) -> tuple[dict[int, int], np.ndarray]:
+        """The masks of an item's words, and which low bits of codes its words have."""
         if item not in self.masks:
             if len(self.masks) > 4096:
                 self.masks.clear()
-            self.masks[item] = _masks(self.items.codes[item].tolist())
+            codes = self.items.codes[item]
+            has = np.zeros(1 << LOOKUP, bool)
+            has[codes & np.uint32((1 << LOOKUP) - 1)] = True
+            self.masks[item] = _masks(codes.tolist()), has
         return self.masks[item]
 
     def near(self, got: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -311,15 +346,19 @@ class Model:
             _, doc, _ = _blocks(per_doc)
             starts = np.cumsum(per_doc) - per_doc
             first_block = np.searchsorted(doc, np.arange(len(per_doc)))
+            low = got & np.uint32((1 << LOOKUP) - 1)
             done: set[tuple[int, int]] = set()
             for p, part, cosine in (x for near in self.near(got, per_doc) for x in zip(*(a.tolist() for a in near), strict=True)):
                 d, item = int(doc[p]), int(self.item_of[part])
                 if (d, item) in done:
                     continue
                 own, place = self.items.codes[item], (p - int(first_block[d])) * STEP
-                size, masks = len(own), self.masks_of(item)
+                size, (masks, has) = len(own), self.masks_of(item)
                 a = int(starts[d]) + max(0, place - size)
                 b = int(starts[d]) + min(int(per_doc[d]), place + 3 * STEP + size)
+                # a common subsequence has no more words than the item's words here, by their low bits
+                if np.count_nonzero(has[low[a:b]]) < LCS_WITH_ANSWER * size:
+                    continue
                 if lcs(masks, size, got[a:b].tolist()) < LCS_WITH_ANSWER * size:
                     continue
                 # the passage may have been near by chance and the item beside it

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lodestack.llm import masked_lm
+from lodestack.llm import decontaminate, masked_lm
 
 
 class Counted(np.ndarray):
@@ -58,3 +58,32 @@ def test_a_step_changes_each_array_once():
         assert np.allclose(g[name], 1e-4 + d * d, rtol=1e-3, atol=1e-8)
         assert np.allclose(p[name], was[name] - masked_lm.RATE * d / np.sqrt(1e-4 + d * d), atol=1e-5)
     assert g["w"].changes == g["wb"].changes == 1  # all 64 classes have targets
+
+
+def test_few_windows_reach_the_subsequence(monkeypatch):
+    rng = np.random.default_rng(5)
+    item = rng.permutation(400)[:48].astype(np.uint32)
+    others = rng.integers(0, 400, (60, 48)).astype(np.uint32)  # with some of the item's words, but never half of them
+    docs = [*others, np.concatenate((others[0], item, others[1]))]
+    items = decontaminate.Items([7], [item])
+    idf = np.ones(decontaminate.FEATURES, np.float32)
+    space = np.linalg.qr(rng.normal(size=(decontaminate.FEATURES, 8)))[0].astype(np.float32)
+    monkeypatch.setattr(decontaminate, "COSINE", -1.0)  # all windows are near
+    calls, lcs = [], decontaminate.lcs
+    monkeypatch.setattr(decontaminate, "lcs", lambda *a: calls.append(a) or lcs(*a))
+    model = decontaminate.Model(items, idf, space, 1.0)
+    counts = np.array([len(d) for d in docs])
+    got = [x[:2] for x in model.search(np.concatenate(docs), counts)]
+    assert got == [(60, 0)]
+    assert len(calls) < 60  # the windows of the first 60 documents have too few of the item's words
+
+
+def test_segment_sums():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(50, 5)).astype(np.float32)
+    for sizes in ([], [1], [3], [900, 1, 2], [1] * 30, rng.integers(1, 40, 200), [*([25] * 9), 70, 2000]):
+        sizes = np.array(sizes, np.int64)
+        index = rng.integers(0, 50, int(sizes.sum()))
+        got = decontaminate._segment_sums(rows, index, np.cumsum(sizes) - sizes)
+        want = [rows[index[e - n : e]].astype(float).sum(0) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+        assert got.shape == (len(sizes), 5) and np.allclose(got, np.array(want).reshape(-1, 5), atol=1e-3)
