@@ -2,7 +2,8 @@
 
 Encoding: texts are cut at single spaces (a place where the byte-level pre-tokenizer always cuts, unless the space belongs to a
 run of three or more white-space characters; such texts are encoded whole), the distinct pieces of a batch are
-encoded once by the tokenizers library, and their ids are put together again by index arrays.
+encoded once by the tokenizers library, and their ids are put together again by index arrays. The library gets many pieces as one
+text, since the cuts hold there as well; where a piece ends is told by the bytes of its tokens.
 
 File: one image holds consecutive documents (ascending doc_id, nulls first) of at most ``shard_tokens`` tokens unless a single document is
 longer. Layout, little-endian: magic ``LSTK0001``; eight int64 (documents, tokens, bytes per id, null doc_ids, low bits and upper
@@ -29,7 +30,12 @@ HEAD = struct.Struct("<8s9q")
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 _SEPARATOR = "<|endoftext|>"
+#: What Python takes for white space, which is no less than the pre-tokenizer does.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: Pieces that the library gets as one text.
+_PIECES = 1 << 14
 _loaded: dict = {}
+_token_bytes: dict = {}
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -80,6 +86,51 @@ def _encode_pieces(tok, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat.astype(np.uint32), counts.astype(np.int64)
 
 
+def _bytes_of_tokens(path: str) -> np.ndarray:
+    """How many bytes each token stands for: a byte-level token is spelled with a character for each byte."""
+    if path not in _token_bytes:
+        vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
+        size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            size[i] = len(token)
+        _token_bytes[path] = size
+    return _token_bytes[path]
+
+
+def _encode_words(words: pa.Array, edge: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all ``words``, each with a space before it, in a row, and how many each has. Those with white space at an ``edge``, empty
+    ones and those that hold the separator are encoded apart, the others as texts of many words."""
+    import pyarrow.compute as pc
+
+    tok = _tokenizer(path)
+    pieces = [" " + w for w in words.to_pylist()]
+    if tok.token_to_id(_SEPARATOR) is None:
+        return _encode_pieces(tok, pieces)
+    apart = edge | pc.match_substring(words, _SEPARATOR).to_numpy(zero_copy_only=False)
+    plain = np.flatnonzero(~apart)
+    size, length = _bytes_of_tokens(path), pc.binary_length(words).to_numpy().astype(np.int64) + 1
+    counts, got = np.zeros(len(pieces), np.int64), []
+    for k in range(0, len(plain), _PIECES):
+        some = plain[k : k + _PIECES]
+        text = "".join([pieces[i] for i in some.tolist()])
+        ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at, ends = np.cumsum(size[ids]), np.cumsum(length[some])
+        last = np.searchsorted(at, ends)
+        if not len(at) or at[-1] != ends[-1] or (at[last] != ends).any():  # a vocabulary whose tokens don't say their bytes
+            return _encode_pieces(tok, pieces)
+        counts[some] = np.diff(last, prepend=-1)
+        got.append(ids)
+    flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
+    if len(plain) < len(pieces):
+        rest = np.flatnonzero(apart)
+        own, counts[rest] = _encode_pieces(tok, [pieces[i] for i in rest.tolist()])
+        of_rest = np.repeat(apart, counts)
+        both = np.empty(len(of_rest), np.uint32)
+        both[of_rest], both[~of_rest] = own, flat
+        flat = both
+    return flat, counts
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all ``texts`` (null: empty) in a row, and the number of each text; as the library's encode, text by text."""
     import re
@@ -95,11 +146,15 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     offsets = offsets - offsets[0]
     index = coded.indices.to_numpy().astype(np.int32)
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary
+    size = pc.binary_length(words)
+    edge = pc.or_(pc.equal(size, 0), pc.not_equal(size, pc.binary_length(pc.utf8_trim(words, _SPACES)))).to_numpy(zero_copy_only=False)
     # a text's first piece has no space before it
     first = offsets[:-1]
     heads, head_of = np.unique(index[first], return_inverse=True)
-    flat, counts = _encode_pieces(tok, [" " + w for w in words] + [words[i] for i in heads])
+    flat, counts = _encode_words(words, edge, path)
+    more, n_more = _encode_pieces(tok, words.take(pa.array(heads)).to_pylist())
+    flat, counts = np.concatenate((flat, more)), np.concatenate((counts, n_more))
     index[first] = len(words) + head_of
     # a row of int32 each: the arrays are as long as the batch has words, and a batch has fewer than 2^31 ids
     starts = (np.cumsum(counts) - counts).astype(np.int32)
@@ -114,7 +169,6 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     del spot, shift
     per_text = np.add.reduceat(per, first, dtype=np.int64)
     # white-space runs of three and more around a cut
-    edge = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words] + [False] * len(heads))
     suspects = np.unique(np.searchsorted(offsets, np.flatnonzero(edge[coded.indices.to_numpy()]), side="right") - 1)
     wrong = [i for i in suspects.tolist() if re.search(r"\s\s\s", texts[i].as_py())]
     if wrong:

@@ -1,8 +1,9 @@
 """What the operators' inner loops are spared, and that their results are those of the plain form."""
 
 import numpy as np
+import pyarrow as pa
 
-from lodestack.llm import decontaminate, masked_lm
+from lodestack.llm import decontaminate, masked_lm, tokens
 
 
 class Counted(np.ndarray):
@@ -87,3 +88,26 @@ def test_segment_sums():
         got = decontaminate._segment_sums(rows, index, np.cumsum(sizes) - sizes)
         want = [rows[index[e - n : e]].astype(float).sum(0) for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
         assert got.shape == (len(sizes), 5) and np.allclose(got, np.array(want).reshape(-1, 5), atol=1e-3)
+
+
+def test_words_are_encoded_together(monkeypatch):
+    real = tokens._tokenizer(tokens.vocabulary())
+    given = []
+
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode_batch_fast(self, texts, **more):
+            given.extend(texts)
+            return real.encode_batch_fast(texts, **more)
+
+    monkeypatch.setitem(tokens._loaded, tokens.vocabulary(), Spy())
+    words = [f"w{chr(97 + i % 26)}ß{i}日,.\nX" for i in range(20_000)]
+    odd = ["", "\n", "a\n", " b", "<|endoftext|>", "x<|endoftext|>y", "<|endof", "text|>", "'s", "'ll'", "_", " ", "\x1c"]
+    texts = ["one " + " ".join(words), None, "", *odd, "two " + " ".join(odd * 3), " ".join(words[::2])]
+    ids, counts = tokens.encode(pa.array(texts), tokens.vocabulary())
+    ends = np.cumsum(counts)
+    for t, e, n in zip(texts, ends, counts, strict=True):
+        assert ids[e - n : e].tolist() == real.encode(t or "", add_special_tokens=False).ids
+    assert sum(t.count("<|endoftext|>") for t in given) < 100  # no separator for each of the 20,000 words
